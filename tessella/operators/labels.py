@@ -40,7 +40,7 @@ def cosmic_status(df: DataFrame, threshold: float) -> DataFrame:
 
 def mutagene_status(df: DataFrame) -> DataFrame:
     """Driver/Passenger rows keyed by the first ENST of the ';' list."""
-    parts = F.transform(F.split("Transcript ID", ";"), F.trim)
+    parts = F.transform(F.split("Transcript ID", ";"), lambda p: F.trim(p))
     enst = F.get(F.filter(parts, lambda p: p.startswith("ENST")), 0)
     label = F.when(F.col("label") == "Driver", 1).when(F.col("label") == "Passenger", 0)
     pos, res = _change(F.col("mutation"), RESIDUE_CHANGE, 2, 1)

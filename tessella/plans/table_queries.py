@@ -345,7 +345,7 @@ def _(s, d):
   substring('ARNDCQEGHILKMFPSTWYV', (strpos('alaargasnaspcysglngluglyhisileleulysmetpheproserthrtrptyrval', split_part(node_id,'_',3)) + 2) // 3, 1) as aa from ({SITES}) s),
  h as (select distinct p.node_id, p.pos, pr.enst from p join ({XREF}) x on x.uniprot_id = p.uniprot_id join ({PROTEINS}) pr on pr.ensp = x.ensp where p.pos > 0 and p.pos <= length(pseq) and substring(pseq, p.pos, 1) = p.aa),
  c as (select node_id, h.enst, case when pos > 1 and (pos-1)*3+4 <= length(seq) then substring(seq, (pos-1)*3, 5) end as ctx from h left join ({CDS}) d on d.enst = h.enst)
- select p.node_id, string_agg(c.enst, ',' order by c.enst) as ensmbl, string_agg(coalesce(ctx,'-'), ',' order by c.enst) as ctxs from p left join c on c.node_id = p.node_id group by 1""")
+ select p.node_id, string_agg(c.enst, ',' order by c.enst) as ensmbl, string_agg(case when c.enst is not null then coalesce(ctx,'-') end, ',' order by c.enst) as ctxs from p left join c on c.node_id = p.node_id group by 1""")
 def _(s, d):
     c = contexts(s, d)
     return c.select("node_id", F.array_join("ensmbl_id", ",").alias("ensmbl"), F.array_join("cds_contexts", ",", "-").alias("ctxs"))

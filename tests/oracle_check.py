@@ -49,8 +49,8 @@ def compare(spark, con, fn, sql: str, sf_dir: str):
     if got_names != want_names:
         return f"columns {got_names} / {want_names}"
     if got != want:
-        a = [r for r in got if r not in set(want)][:3]
-        b = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        a, b = list(have - need)[:3], list(need - have)[:3]
         return f"{len(got)} / {len(want)} rows; only here {a}; only there {b}"
     if not got:
         return "both empty"
