@@ -45,7 +45,7 @@ def truss_numbers(graph: Graph) -> DataFrame:
     def side(x: str, y: str):
         return F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
 
-    tri = cut(t.select(F.monotonically_increasing_id().alias("t"), F.explode(F.array(side("a", "b"), side("a", "c"), side("b", "c"))).alias("e")).select("t", "e.u", "e.v"), "sides")
+    tri = cut(t.select(F.struct("a", "b", "c").alias("t"), F.explode(F.array(side("a", "b"), side("a", "c"), side("b", "c"))).alias("e")).select("t", "e.u", "e.v"), "sides")
     cur = cut(tri.groupBy("u", "v").agg(F.count("*").alias("h")), "truss")
     total = None
     while True:
@@ -76,7 +76,7 @@ def truss_sizes(graph: Graph, max_k: int = 100) -> DataFrame:
     per = tn.select(F.explode(F.array("u", "v")).alias("node_id"), "truss").groupBy("node_id").agg(F.max("truss").alias("truss"))
     hist = per.where("truss >= 3").groupBy("truss").agg(F.count("*").alias("n"))
     # A node of truss t lies in every k-truss up to t; hist has at most max_k useful rows.
-    ks = hist.select(F.explode(F.sequence(F.lit(3), F.least("truss", F.lit(max_k - 1)))).cast("long").alias("k"), "n")
+    ks = hist.select(F.explode(F.sequence(F.lit(3).cast("long"), F.least("truss", F.lit(max_k - 1)))).alias("k"), "n")
     return ks.groupBy("k").agg(F.sum("n").alias("n_nodes"))
 
 
