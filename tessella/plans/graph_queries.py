@@ -491,8 +491,8 @@ def _(s, d):
     return r6(G.cluster_statistics(c, n.drop("node_id").withColumnRenamed("residue_id", "node_id")), "observed_mean")
 
 
-@query("expected_null", f"""{rec(base(G_B), _mcl_cc(0.21), _PN, _SG)}, pl as (select st, count(*) n, avg(x) mu, var_samp(x) s2 from sr group by 1), k as (select c, st, count(*) k from cl join sr on sr.n = cl.n group by 1, 2)
- select c as cluster_id, cast(sum(k) as bigint) as cluster_size, round(sum(k*mu),6) as expected_sum, round(sum(coalesce(s2,0)*k*(1-k/n)),6)+0.0 as null_variance from k join pl on pl.st = k.st group by 1""")
+@query("expected_null", f"""{rec(base(G_B), _mcl_cc(0.21), _PN, _SG)}, pl as (select st, count(*) n, avg(x) mu, var_samp(x) s2 from sr group by 1), kk as (select c, st, count(*) k from cl join sr on sr.n = cl.n group by 1, 2)
+ select c as cluster_id, cast(sum(k) as bigint) as cluster_size, round(sum(k*mu),6) as expected_sum, round(sum(coalesce(s2,0)*k*(1-k/n)),6)+0.0 as null_variance from kk join pl on pl.st = kk.st group by 1""")
 def _(s, d):
     st = G.with_strata(part_nodes(s, d), "total_mutations_count")
     return r6(G.expected_null(mcl_clusters(s, d), st), "expected_sum", "null_variance")
@@ -634,15 +634,15 @@ def _(s, d):
     return m.select("node_id", F.round(F.col("nb")[0], 6).alias("m0"), F.round(F.col("nb")[1], 6).alias("m1"))
 
 
-_W1, _W2, _B = [[0.1, -0.2], [0.3, 0.4]], [[0.5, 0.1], [-0.3, 0.2]], [0.01, -0.02]
+_W1, _W2, _B = [[0.1013577, -0.2031711], [0.3071937, 0.4057913]], [[0.5023171, 0.1098673], [-0.3019731, 0.2087137]], [0.0113, -0.0217]
 
 
 @query("sage_layer", f"""{rec(base(G_B), _X)}, m as (select s.a n, avg(x0) m0, avg(x1) m1 from s join fx on fx.n = s.b group by 1)
- select m.n as node_id, round(greatest(x0*0.1+x1*0.3+m0*0.5-m1*0.3+0.01,0),6) as y0, round(greatest(-x0*0.2+x1*0.4+m0*0.1+m1*0.2-0.02,0),6) as y1 from m join fx on fx.n = m.n""")
+ select m.n as node_id, round(greatest(x0*0.1013577+x1*0.3071937+m0*0.5023171-m1*0.3019731+0.0113,0),5) as y0, round(greatest(-x0*0.2031711+x1*0.4057913+m0*0.1098673+m1*0.2087137-0.0217,0),5) as y1 from m join fx on fx.n = m.n""")
 def _(s, d):
     g = gb(s, d)
     y = NN.sage_layer(g, features(s, d).join(g.vertices, "node_id", "left_semi"), _W1, _W2, _B)
-    return y.select("node_id", F.round(F.col("x")[0], 6).alias("y0"), F.round(F.col("x")[1], 6).alias("y1"))
+    return y.select("node_id", F.round(F.col("x")[0], 5).alias("y0"), F.round(F.col("x")[1], 5).alias("y1"))
 
 
 @query("skip_concat_layers")
@@ -658,7 +658,7 @@ def _(s, d):
     return NN.mean_readout(x).select("graph_id", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[1], 6).alias("v1"))
 
 
-@query("bilinear_score", "select p_partkey as node_id, round(p_size*(0.1*p_retailprice/1000-0.2*p_size)+p_retailprice/1000*(0.3*p_retailprice/1000+0.4*p_size),4) as score from {part}")
+@query("bilinear_score", "select p_partkey as node_id, round(p_size*(0.1013577*p_retailprice/1000-0.2031711*p_size)+p_retailprice/1000*(0.3071937*p_retailprice/1000+0.4057913*p_size),4) as score from {part}")
 def _(s, d):
     x = features(s, d).withColumn("vec", F.reverse("x"))
     return NN.bilinear_score(x, _W1).select("node_id", F.round("score", 4).alias("score"))
