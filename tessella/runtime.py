@@ -83,27 +83,26 @@ def global_rank(df: DataFrame, *order: Column, rank: str = "rn", weight: str | N
     the running sum of that column is returned instead of the position. The
     order must be total for the numbering to be reproducible.
     """
-    spark = df.sparkSession
     placed = cut(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id()),
+        .withColumn("_range", F.spark_partition_id()),
         "rank",
     )
     step = F.lit(1) if weight is None else F.col(weight)
     # One row per range partition, so this table is bounded by the partition count.
     before = (
-        placed.groupBy("_pid")
-        .agg(F.sum(step).alias("_n"))
-        .withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col("_pid").alias("_p"), F.coalesce("_off", F.lit(0)).alias("_off"))
+        placed.groupBy("_range")
+        .agg(F.sum(step).alias("_rows"))
+        .withColumn("_skip", F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("_range", F.coalesce("_skip", F.lit(0)).alias("_skip"))
     )
-    run = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumn("_k", F.sum(step).over(run))
-        .join(F.broadcast(before), F.col("_pid") == F.col("_p"))
-        .withColumn(rank, (F.col("_k") + F.col("_off")).cast("long" if weight is None else "double"))
-        .drop("_pid", "_p", "_k", "_off")
+        placed.withColumn("_upto", F.sum(step).over(run))
+        .join(F.broadcast(before), "_range")
+        .withColumn(rank, (F.col("_upto") + F.col("_skip")).cast("long" if weight is None else "double"))
+        .drop("_range", "_upto", "_skip")
     )
 
 
