@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.runtime import exact_quantiles
+
 # The per-contact energy columns that are averaged on merge.
 ENERGY_COLUMNS = (
     "coulombs_energy",
@@ -97,7 +97,7 @@ def merge_symmetric(df: DataFrame, order_by: list[str] | None = None) -> DataFra
     energies = [c for c in df.columns if c in ENERGY_COLUMNS]
     order = F.struct(*(order_by or rest)) if (order_by or rest) else F.lit(0)
     picks = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
-    # nanvl: an energy read as NaN counts as missing, as in the mean of the reference data.
+    # nanvl: an energy read as NaN counts as missing.
     means = [F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in energies]
     merged = (
         df.withColumns({"nodeid_1": F.least(a, b), "nodeid_2": F.greatest(a, b)})
@@ -125,12 +125,6 @@ def drop_repulsive(edges: DataFrame, weight: str = "weight", with_zero: bool = F
 
 def drop_weak_or_repulsive(edges: DataFrame, percentile: int = 25, weight: str = "weight") -> DataFrame:
     """Keep attracting edges stronger than the given percentile of abs(weight)."""
-    from tessella.runtime import exact_quantiles
-
     size = edges.select(F.abs(weight).alias("s"))
     bound = exact_quantiles(size, "s", [int(percentile) / 100.0])[0]
     return edges.where((F.abs(weight) > F.lit(bound)) & (F.col(weight) < 0))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

@@ -29,8 +29,7 @@ def map_attributes(graph: Graph, table: DataFrame, columns: list[str]) -> DataFr
     """Vertices with table columns; nodes absent from the table get 0.
 
     ``has_mutation`` is 1 where the count differs from 0, and also where the
-    node is listed with a null count, which the reference data treats as
-    unequal to 0. A repeated node id is an error.
+    node is listed with a null count, which is taken as unequal to 0. A repeated node id is an error.
     """
     repeated = table.groupBy("node_id").count().where("count > 1")
     if not no_rows(repeated):

@@ -376,19 +376,17 @@ def _(s, d):
     return N.mutability(contexts(s, d), model(s, d)).select("node_id", F.round("mutability", 6).alias("mutability"))
 
 
-@query("context_scores", f"""with q as (select distinct substring(seq, k*3, 5) as ctx from ({CDS}) c, (select distinct l_suppkey % 28 + 1 as k from {{lineitem}}) n), {_score_sql('q')}
+@query("context_scores", f"""with q as (select distinct substring(seq, k*3, 5) as ctx from ({CDS}) c, (select unnest(range(1, 29)) as k) n), {_score_sql('q')}
  select dc.ctx as context, round(coalesce(score,0),6) as score from dc left join sc on sc.ctx = dc.ctx""")
 def _(s, d):
-    k = derive(s, d, "select distinct l_suppkey % 28 + 1 as k from {lineitem}")
-    seqs = derive(s, d, CDS).join(F.broadcast(k))  # at most 28 offsets
+    seqs = derive(s, d, CDS).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(28))))
     ctx = seqs.select(F.substring(F.col("seq"), F.col("k") * 3, F.lit(5)).alias("context"))
     return codons.context_scores(ctx, model(s, d)).select("context", F.round("score", 6).alias("score"))
 
 
-@query("translate_codons", f"select enst, k, {_AA.format(c='substring(seq, k*3+1, 3)')} as aa from ({CDS}) c, (select distinct l_suppkey % 30 as k from {{lineitem}}) n")
+@query("translate_codons", f"select enst, k, {_AA.format(c='substring(seq, k*3+1, 3)')} as aa from ({CDS}) c, (select unnest(range(0, 30)) as k) n")
 def _(s, d):
-    k = derive(s, d, "select distinct l_suppkey % 30 as k from {lineitem}")
-    seqs = derive(s, d, CDS).join(F.broadcast(k))  # at most 30 offsets
+    seqs = derive(s, d, CDS).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29))))
     return seqs.select("enst", "k", codons.translate_codon(F.substring(F.col("seq"), F.col("k") * 3 + 1, F.lit(3))).alias("aa"))
 
 
