@@ -18,8 +18,8 @@ with p as (select page_id, encode(coalesce(html, '')) b from pages),
 h as (select page_id, octet_length(b) n, sha1(b) s from p),
 m as (select *, max(page_id) over (partition by s, n) top from h)
 select page_id, n::bigint as payload_bytes,
-  list_aggregate(list_transform(range(8), g -> list_aggregate(list_transform([15, 10, 5, 0],
-    k -> substr('{_BASE32}', (((('0x' || substr(s, (g * 5 + 1)::int, 5))::bigint) >> k) & 31)::int + 1, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+  list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda k: substr('{_BASE32}', (((('0x' || substr(s, (g * 5 + 1)::int, 5))::bigint) >> k) & 31)::int + 1, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
   case when page_id = top then 'response' else 'revisit' end as record_type,
   case when page_id = top then null else top end as refers_to
 from m
@@ -40,7 +40,7 @@ with d as (select doc_id, source, text, length(coalesce(text, '')) n from docume
 s as (select source, sum(n) chars from d group by source),
 r as (select source, (select sum(chars) from s) / (select count(*) from s)::double / chars rate from s where chars > 0),
 k as (select source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::bigint + 1)) k from r),
-pmf as (select source, rate, k, exp(k * ln(rate) - rate - list_sum(list_transform(range(1, k + 1), j -> ln(j)))) p from k where k > 0
+pmf as (select source, rate, k, exp(k * ln(rate) - rate - list_sum(list_transform(range(1, k + 1), lambda j: ln(j)))) p from k where k > 0
         union all select source, rate, 0, exp(-rate) from r),
 cdf as (select source, rate, k, sum(p) over (partition by source order by k) f from pmf),
 u as (select *, ('0x' || substr(md5('mix|' || doc_id::varchar), 1, 12))::bigint / 281474976710656.0::double u from d),
