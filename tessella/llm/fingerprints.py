@@ -3,8 +3,9 @@
 Words are runs of anything but ASCII white space. The hashes of a text's
 five-word shingles are sorted once; the top bits of a hash name its bin and the
 first hash in a bin is the bin's minimum. An empty bin borrows from a non-empty
-one: each empty bin orders all bins by its own hash and takes the first
-non-empty one, the same for all texts (optimal densification). Only the low
+one: each empty bin tries the bins its own hashes name, the same for all texts,
+until it meets a non-empty one (optimal densification; after eight tries the
+non-empty bin with the least hash is taken). Only the low
 eight bits of each bin are kept, packed to hex; the likeness of two
 fingerprints takes the chance agreement of eight bits out.
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 BIN_BITS = 7  # 128 bins
 LOW_BITS = 8
+ATTEMPTS = 8
 EMPTY = "0" * (2 << BIN_BITS)
 
 
@@ -40,21 +42,22 @@ def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     low = lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))), LOW_BITS // 4, "0")
     clean = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
     words = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
-    # Signed order puts bins 64..127 before 0..63; within a bin it is the order of the rest of the bits.
     firsts = F.filter("_sorted", lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get("_sorted", i - 1))))
-    donor = lambda b: F.array_min(F.transform("_firsts", lambda h: F.struct(F.xxhash64(F.lit(11), b, bin_of(h)).alias("o"), low(h).alias("v"))))["v"]
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda b: F.coalesce(F.element_at("_bins", b), donor(b)),
-    )
-    full = F.transform(F.sort_array(F.transform("_firsts", lambda h: F.struct(bin_of(h).alias("b"), low(h).alias("v")))), lambda s: s["v"])
+    # Minima and one blank for each bin, in bin order; a blank behind a minimum goes.
+    blanks = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("b"), F.lit(1).alias("blank"), F.lit(None).cast("string").alias("v")))
+    minima = F.transform("_firsts", lambda h: F.struct(bin_of(h).alias("b"), F.lit(0).alias("blank"), low(h).alias("v")))
+    slots = F.transform(F.filter("_both", lambda x, i: (x["blank"] == 0) | (i == 0) | (F.get("_both", i - 1)["b"] != x["b"])), lambda x: x["v"])
+    tried = lambda b, j: F.get("_slots", F.pmod(F.xxhash64(F.lit(j), b), F.lit(bins)).cast("int"))
+    nearest = lambda b: F.array_min(F.transform("_firsts", lambda h: F.struct(F.xxhash64(F.lit(ATTEMPTS), b, bin_of(h)).alias("o"), low(h).alias("v"))))["v"]
+    dense = F.transform("_slots", lambda v, b: F.coalesce(v, *[tried(b, j) for j in range(ATTEMPTS)], nearest(b)))
     return (
         df.withColumn("_words", words)
         .withColumn("_sorted", F.sort_array(shingle_hashes(F.col("_words"))))
         .withColumn("_firsts", firsts)
-        .withColumn("_bins", F.when(F.size("_firsts") < bins, F.map_from_entries(F.transform("_firsts", lambda h: F.struct(bin_of(h).alias("b"), low(h).alias("v"))))))
-        .withColumn(out, F.when(F.size("_firsts") == 0, F.lit(EMPTY)).when(F.size("_firsts") == bins, F.array_join(full, "")).otherwise(F.array_join(dense, "")))
-        .drop("_words", "_sorted", "_firsts", "_bins")
+        .withColumn("_both", F.sort_array(F.concat(minima, blanks)))
+        .withColumn("_slots", slots)
+        .withColumn(out, F.when(F.size("_firsts") == 0, F.lit(EMPTY)).otherwise(F.array_join(dense, "")))
+        .drop("_words", "_sorted", "_firsts", "_both", "_slots")
     )
 
 

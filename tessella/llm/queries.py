@@ -104,3 +104,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# --- 6 near duplicates -------------------------------------------------------
+
+_WORDS6 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op6_near_duplicates", f"""
+with recursive d as (select doc_id, {_WORDS6} w from documents),
+sh as (select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') s
+       from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from d where len(w) > 0)),
+size as (select doc_id, count(*) n from sh group by doc_id),
+pairs as (select a.doc_id x, b.doc_id y, count(*) k from sh a join sh b using (s) where a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join size p on p.doc_id = x join size q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id r from documents union select reach.doc_id, y from reach join both_ways on r = x),
+comp as (select doc_id, min(r) component_id from reach group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join size using (doc_id) join comp using (doc_id)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.near_dups import near_duplicates
+
+    near = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+# --- 1 suffix-array dedup, 8 substring dedup ---------------------------------
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_substring_dedup", """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+win as (select doc_id, i, hash(array_to_string(list_slice(w, i, i + 12), ' ')) g from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)),
+least as (select g, min(doc_id) lo from win group by g),
+gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest(range(i, i + 13)) p from win join least using (g) where lo < doc_id) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: ps is null or not list_contains(ps, i)), ' '), '')) as kept_sha256
+from d left join gone using (doc_id)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"), length=13)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.col("n_symbols").alias("n_words"), removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
