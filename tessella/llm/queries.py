@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import query, table
+from tessella.llm.common import crc_mod, query, table
 from tessella.runtime import scratch_path
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value of the encoding
@@ -158,3 +158,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), length=13)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 2 toxicity --------------------------------------------------------------
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids with remainder 0 are held out."""
+    from tessella.llm.toxicity import learn, score_texts
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = learn(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return score_texts(docs, index).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "neighbours", "similarities")
+
+
+# --- 4 personal data ---------------------------------------------------------
+
+
+@query("op4_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pii import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
