@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Item bytes held by one automaton. Item tables beyond it are dealt over several
@@ -61,7 +61,7 @@ def _automaton(items: list[tuple[str, str]], window: int):
 
 def _built(handle, window: int):
     """The automaton of a broadcast item table, made once in each worker."""
-    if (key := (handle.id if hasattr(handle, "id") else id(handle), window)) not in _BUILT:
+    if (key := (id(handle.value), window)) not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = [_automaton(shard, window) for shard in handle.value]
     return _BUILT[key]
@@ -87,20 +87,33 @@ def scan_text(text: str | None, automata: list[tuple]) -> tuple[int, list[tuple[
     return len(words), runs, sorted(found)
 
 
+def _shared(items: DataFrame, item_id: str, item_text: str):
+    """The items dealt over as many automata as their size asks for, sent to the tasks."""
+    pool = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("i is not null")
+    size = pool.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
+    n = int(size // AUTOMATON_BYTES) + 1
+    shards = [[(r["i"], r["t"]) for r in pool.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().collect()] for k in range(n)]
+    return items.sparkSession.sparkContext.broadcast(shards)
+
+
+def hit_words(items: DataFrame, text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = 10) -> Column:
+    """Number of words of ``text_col`` that stand in a window of the items."""
+    handle = _shared(items, item_id, item_text)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automata = _built(handle, window)
+        for batch in batches:
+            yield pd.Series([sum(b - a for a, b in scan_text(t, automata)[1]) for t in batch], dtype="int64")
+
+    return F.pandas_udf(run, "long")(F.col(text_col))
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text", window: int = 10,
 ) -> DataFrame:
     """One row per text: id, ``n_words``, ``n_hit``, ``items`` found, ``spans`` of hit characters [start, end)."""
-    spark = docs.sparkSession
-    pool = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
-    size = pool.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    shards = [
-        [(r["i"], r["t"]) for r in pool.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).where("i is not null").distinct().collect()]
-        for n in [int(size // AUTOMATON_BYTES) + 1]
-        for k in range(n)
-    ]
-    handle = spark.sparkContext.broadcast(shards)
+    handle = _shared(items, item_id, item_text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automata = _built(handle, window)

@@ -181,3 +181,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.pii import replace_entities
 
     return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
+
+
+# --- 3 language-model scores -------------------------------------------------
+
+
+@query("op3_class_lm")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with remainder 2 are held out of training."""
+    from tessella.llm.class_lm import score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

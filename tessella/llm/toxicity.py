@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import written
@@ -197,33 +197,53 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return build_index([r["_id"] for r in rows], [r["_y"] for r in rows], [dict(zip(r["t"], r["c"])) for r in rows], terms)
 
 
+class _Scorer:
+    """Scores texts in a task, remembering words and equal term counts."""
+
+    def __init__(self, index: Index):
+        self.index, self.words, self.known = index, {}, {}
+
+    def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        counts: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            hit = self.words.get(word)
+            if hit is None:
+                if len(self.words) > 200_000:
+                    self.words.clear()
+                hit = self.words[word] = tuple(self.index.numbers[t] for t in word_terms(word) if t in self.index.numbers)
+            for t in hit:
+                counts[t] = counts.get(t, 0) + n
+        key = tuple(sorted(counts.items()))
+        if key not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            score, i, s = self.index.score(counts)
+            self.known[key] = (score, self.index.ids[i].tolist(), s.tolist())
+        return self.known[key]
+
+
 def score_texts(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``score``, ``predicted``, ``neighbours``, ``similarities``) of every row."""
     handle = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, memo, known = handle.value, {}, {}
+        scorer = _Scorer(handle.value)
         for batch in batches:
-            out = []
-            for text in batch["t"]:
-                counts: dict[int, int] = {}
-                for word, n in Counter(_WORD.findall((text or "").lower())).items():
-                    hit = memo.get(word)
-                    if hit is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        hit = memo[word] = tuple(index.numbers[t] for t in word_terms(word) if t in index.numbers)
-                    for t in hit:
-                        counts[t] = counts.get(t, 0) + n
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    score, i, s = index.score(counts)
-                    known[key] = (score, index.ids[i].tolist(), s.tolist())
-                out.append(known[key])
+            out = [scorer(t) for t in batch["t"]]
             yield pd.DataFrame({"k": batch["k"], "score": [x[0] for x in out], "neighbours": [x[1] for x in out], "similarities": [x[2] for x in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "k string, score double, neighbours array<long>, similarities array<double>")
     return scored.select(F.col("k").cast(kind).alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
+
+
+def toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> Column:
+    """The score of ``text_col`` as a column of ``docs``."""
+    handle = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _Scorer(handle.value)
+        for batch in batches:
+            yield pd.Series([scorer(t)[0] for t in batch], dtype=float)
+
+    return F.pandas_udf(run, "double")(F.col(text_col))
