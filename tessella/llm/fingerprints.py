@@ -73,21 +73,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == EMPTY) | (b == EMPTY), 0.0).otherwise(corrected)
 
 
-def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows_per_range: int = 2000) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows_per_range: int = 2000, derive=None) -> DataFrame:
     """Add for each (from, to) of ``columns`` the value of the next row in descending id order; the first follows the last.
 
     Rows are dealt into ranges of the id; each range is closed by a copy of the
     first row of the range below it. Null ids come last; rows with one id are
-    ordered by their values.
+    ordered by their values. ``derive`` adds columns to the rows, the closing
+    copies included, once they are dealt; ``columns`` may name those too.
     """
     from pyspark.sql import Window
 
     spark = df.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
     df = df.withColumn("_key", key)
+    derive = derive or (lambda x: x)
+    given = [c for c in columns if c in df.columns]
     n = df.count()
     if n == 0:
-        return df.select("*", *[F.col(a).alias(b) for a, b in columns.items()]).drop("_key")
+        return derive(df).select("*", *[F.col(a).alias(b) for a, b in columns.items()]).drop("_key")
     # A range is one reducer's work, so there are never more ranges than a large job has tasks.
     ranges = max(1, min(20_000, n // rows_per_range))
     bounds = sorted(set(df.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)] or [0.5], 100_000).alias("b")).first()["b"]))
@@ -108,9 +111,9 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows_per_rang
     wanted = spark.createDataFrame([(k, r) for k, r in follow.items()], "_first long, _to int")
     heads = (
         placed.join(F.broadcast(wanted), F.col("_key") == F.col("_first"))
-        .groupBy("_to").agg(F.max(F.struct(*columns)).alias("_s"))
-        .select(F.col("_to").alias("_range"), F.lit(1).alias("_tail"), *[F.col("_s").getField(c).alias(c) for c in columns])
+        .groupBy("_to").agg(F.max(F.struct(*given)).alias("_s"))
+        .select(F.col("_to").alias("_range"), F.lit(1).alias("_tail"), *[F.col("_s").getField(c).alias(c) for c in given])
     )
-    both = placed.withColumn("_tail", F.lit(0)).unionByName(heads, allowMissingColumns=True)
-    order = Window.partitionBy("_range").orderBy(F.col("_tail"), F.col("_key").desc(), *[F.col(c).desc() for c in columns])
+    both = derive(placed.withColumn("_tail", F.lit(0)).unionByName(heads, allowMissingColumns=True))
+    order = Window.partitionBy("_range").orderBy(F.col("_tail"), F.col("_key").desc(), *[F.col(c).desc() for c in given])
     return both.select("*", *[F.lead(a).over(order).alias(b) for a, b in columns.items()]).where("_tail = 0").drop("_key", "_range", "_tail")

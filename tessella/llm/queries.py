@@ -64,8 +64,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.fingerprints import likeness, with_fingerprint, with_next
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    own = with_fingerprint(docs, F.col("_t"), "fingerprint")
-    near = with_next(own, "doc_id", {"_t": "_next", "fingerprint": "_next_fp"})
+    near = with_next(docs, "doc_id", {"_t": "_next", "fingerprint": "_next_fp"}, derive=lambda x: with_fingerprint(x, F.col("_t"), "fingerprint"))
     n = F.char_length("_t")
     cut = F.floor(n / 3).cast("int")
     edited = near.withColumn("n_chars", n.cast("long")).withColumn("_e", F.concat(F.substr("_t", F.lit(1), n - cut), F.substr("_next", F.lit(1), cut))).drop("_t", "_next")
