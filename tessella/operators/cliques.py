@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,10 +64,10 @@ def maximal_clique_centrality(graph: Graph, normalize: bool = True) -> DataFrame
     """
     q = cut(maximal_cliques(graph), "cliques")
     top = q.agg(F.max(F.size("members"))).first()[0] or 1
-    size = F.size("members")
-    fact = F.factorial(F.least(size - 1, F.lit(20))).cast("double")
-    if top > 21:
-        fact = F.exp(F.aggregate(F.sequence(F.lit(1), size - 1), F.lit(0.0), lambda s, k: s + F.log(k.cast("double"))))
+    # (size - 1)! / (top - 1)! as one product, so that no factorial overflows; without the scale, a clique of over 171 nodes does.
+    first = (F.size("members") if normalize else F.lit(1)).cast("int")
+    last = F.lit(top - 1) if normalize else F.size("members") - 1
+    steps = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    fact = F.aggregate(steps, F.lit(1.0), (lambda s, k: s / k) if normalize else (lambda s, k: s * k))
     per = q.select(F.explode("members").alias("node_id"), fact.alias("f")).groupBy("node_id").agg(F.sum("f").alias("s"))
-    scale = float(math.factorial(top - 1)) if normalize and top - 1 <= 170 else 1.0
-    return graph.vertices.select("node_id").join(per, "node_id", "left").select("node_id", (F.coalesce("s", F.lit(0.0)) / scale).alias("mcc"))
+    return graph.vertices.select("node_id").join(per, "node_id", "left").select("node_id", F.coalesce("s", F.lit(0.0)).alias("mcc"))

@@ -27,7 +27,11 @@ def equal_width_bins(df: DataFrame, column: str, out: str, bins: int = 42) -> Da
     mn, mx = F.col("_mn"), F.col("_mx")
     # A constant column is widened evenly on both sides, which puts it in the middle.
     flat = F.lit((bins + 1) // 2 - 1)
-    b = F.when(mx == mn, flat).otherwise(F.greatest(F.ceil((x - mn) / ((mx - mn) / bins)) - 1, F.lit(0)))
+    # The quotient may miss the bin by a rounding step, so the edges mn + i * width decide; the last edge is the maximum.
+    width = (mx - mn) / bins
+    near = F.ceil((x - mn) / width) - 1
+    near = near + F.when(x > mn + (near + 1) * width, 1).when(x <= mn + near * width, -1).otherwise(0)
+    b = F.when(mx == mn, flat).otherwise(F.least(F.greatest(near, F.lit(0)), F.lit(bins - 1)))
     return s.withColumn(out, F.when(x.isNotNull(), b.cast("int"))).select(*df.columns, out)
 
 

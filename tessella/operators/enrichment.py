@@ -118,10 +118,11 @@ def permutation_test(clusters: DataFrame, strata: DataFrame, n_permutations: int
     totals = drawn.groupBy("cluster_id").agg(F.sum("ge").alias("ge"), F.sum("total").alias("total"))
     scale = F.col("size") if statistic == "mean" else F.lit(1)
     obs, exp = F.col("obs") / scale, F.col("total") / n_permutations / scale
-    return plan.join(totals, "cluster_id").select(
+    # Written, as later steps read the result more than once.
+    return cut(plan.join(totals, "cluster_id").select(
         "cluster_id", F.col("size").alias("cluster_size"), obs.alias(f"observed_{statistic}"), exp.alias(f"expected_{statistic}"),
         F.col("ge").alias("null_ge_obs"), enrichment_ratio(obs, exp).alias("enrichment_score"),
-        ((1.0 + F.col("ge")) / (1.0 + n_permutations)).alias("p_value"))
+        ((1.0 + F.col("ge")) / (1.0 + n_permutations)).alias("p_value")), "permuted")
 
 
 def _draw_with_shared_pools(units: DataFrame, counts: DataFrame, n_permutations: int, chunk: int) -> DataFrame:

@@ -54,7 +54,8 @@ def skip_concat(graph: Graph, features: DataFrame, layers: list[tuple[np.ndarray
 
 def mean_readout(features: DataFrame, key: str = "graph_id") -> DataFrame:
     """(key, vec): mean feature array per graph, combined before the shuffle."""
-    return features.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("vec"))
+    sums = features.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("s"), F.count("*").alias("n"))
+    return sums.select(key, F.transform("s", lambda x: x / F.col("n")).alias("vec"))
 
 
 def bilinear_score(df: DataFrame, w: np.ndarray, left: str = "x", right: str = "vec", out: str = "score") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.codons import context_5nt, context_scores
 from tessella.functions.residues import parse_node_id, split_node_id
 from tessella.graph import Graph
-from tessella.runtime import no_rows, with_scalars
+from tessella.runtime import cut, no_rows, with_scalars
 
 
 def join_features(base: DataFrame, *others: DataFrame, key: str = "node_id") -> DataFrame:
@@ -123,12 +123,13 @@ def mutability(contexts: DataFrame, model: DataFrame) -> DataFrame:
     Null contexts count in the denominator. Null without any context, 0 for an
     empty list.
     """
+    contexts = cut(contexts, "contexts")  # read three times below
     rows = contexts.where("unique_cds_contexts is not null").select(
         "node_id", F.size("cds_contexts").alias("total"), F.explode_outer("cds_contexts").alias("context")
     )
-    scored = rows.join(F.broadcast(context_scores(rows, model)), "context", "left")  # at most 4^5 contexts
+    scored = rows.join(context_scores(rows, model), "context", "left")
     per_node = scored.groupBy("node_id").agg(
-        F.sum(F.when(F.col("context").isNotNull(), F.col("score") / F.col("total"))).alias("s")
+        (F.sum(F.when(F.col("context").isNotNull(), F.col("score"))) / F.max("total")).alias("s")
     )
     return contexts.select("node_id", "unique_cds_contexts").join(per_node, "node_id", "left").select(
         "node_id",

@@ -36,8 +36,7 @@ select {_PROT.format(k='a.l_partkey', sep='_')} as uniprot1,
  'x'||cast(a.l_suppkey % 50 as string) as pdb_code,
  case when a.l_suppkey <> b.l_suppkey then 'inter-chain' else 'intra-chain' end as chain_flag,
  case when a.l_orderkey % 17 = 0 then null else round(100*a.l_discount-100*b.l_tax-2,6)+0.0 end as cleaned_total_energy
-from {{lineitem}} a join {{lineitem}} b on a.l_orderkey=b.l_orderkey and a.l_partkey<>b.l_partkey and a.l_extendedprice<b.l_extendedprice
-where a.l_quantity>=45 and b.l_quantity>=45
+from {{lineitem}} a join {{lineitem}} b on a.l_orderkey=b.l_orderkey and a.l_partkey<>b.l_partkey and abs(a.l_linenumber-b.l_linenumber)=1
 """
 
 # Contact graph with string ids and signed weights.
@@ -48,12 +47,24 @@ select least(n1,n2) u, greatest(n1,n2) v, round(avg(e),6)+0.0 weight from (
  from ({RAW_EDGES}) r where pdb_auth_resi1>0 and pdb_auth_resi2>0 and cleaned_total_energy is not null) i group by 1,2
 """
 
-# Sparse bipartite graph: many small components, no triangles.
-G_A = "select distinct o_custkey u, 1000000000+l_partkey v from {lineitem} join {orders} on l_orderkey=o_orderkey where l_quantity>=50"
+# Bipartite graph of all lines: every order is a few small components, no triangles.
+G_A = "select distinct l_orderkey*10+l_partkey%7 u, l_orderkey*10+7+l_suppkey%3 v from {lineitem}"
 
-# Co-order graph: one giant component, triangles.
-G_B = """select distinct a.l_partkey u, b.l_partkey v from {lineitem} a join {lineitem} b
- on a.l_orderkey=b.l_orderkey and a.l_partkey<b.l_partkey where a.l_quantity>=45 and b.l_quantity>=45"""
+
+def _neighbours(node: str) -> str:
+    """An edge between the parts of lines of an order whose numbers differ by one or two."""
+    x, y = (node.replace("{k}", f"{t}.l_partkey").replace("{o}", f"{t}.l_orderkey") for t in "ab")
+    return (f"select distinct least({x},{y}) u, greatest({x},{y}) v from {{lineitem}} a join {{lineitem}} b"
+            f" on a.l_orderkey=b.l_orderkey and b.l_linenumber-a.l_linenumber in (1,2) and a.l_partkey<>b.l_partkey")
+
+
+# All lines, a node for each part of an order: small components with triangles.
+G_B = _neighbours("{o}*1000000+{k}")
+LINE_NODES = "select distinct l_orderkey*1000000+l_partkey n, l_partkey pk from {lineitem}"
+
+# All lines, orders folded to 40 so that large components form.
+G_C = _neighbours("{k}*40+{o}%40")
+FOLDED_NODES = "select distinct l_partkey*40+l_orderkey%40 n, l_partkey pk from {lineitem}"
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()

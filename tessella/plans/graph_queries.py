@@ -26,7 +26,7 @@ from tessella.operators import ranking as R
 from tessella.operators import seeds as S
 from tessella.operators import spectral as SP
 from tessella.operators.cliques import maximal_clique_centrality
-from tessella.plans.fixtures import CONTACTS, G_A, G_B, NODES, derive, graph
+from tessella.plans.fixtures import CONTACTS, FOLDED_NODES, G_A, G_B, G_C, LINE_NODES, NODES, derive, graph
 from tessella.plans.registry import query
 from tessella.runtime import cut, scratch_path
 from tessella.sources import graphs as SG
@@ -41,6 +41,10 @@ def gb(s, d) -> Graph:
     return graph(s, d, G_B)
 
 
+def gc(s, d) -> Graph:
+    return graph(s, d, G_C)
+
+
 def contacts(s, d) -> Graph:
     return graph(s, d, CONTACTS, ("weight",))
 
@@ -64,6 +68,9 @@ def base(g: str) -> str:
 
 CC = """r(n,l) as (select distinct a, a from s union select s.b, r.l from r join s on s.a = r.n where r.l < s.b),
  cc as materialized (select n, min(l) c from r group by 1)"""
+# The same with one row kept for each node, for large components.
+CC_KEYED = """r(n,l) using key (n) as (select n, n from v union select s.b, min(q.l) from r q join s on s.a = q.n join recurring.r t on t.n = s.b where q.l < t.l group by s.b),
+ cc as materialized (select n, l c from r)"""
 # Breadth-first distances from every node, for graphs with small components.
 DIST = """w(src,n,d) as (select n, n, 0 from v union select w.src, s.b, w.d+1 from w join s on s.a = w.n where w.d < 60 and not exists (select 1 from w p where p.src = w.src and p.n = s.b)),
  ds as materialized (select src, n, min(d) d from w group by 1, 2)"""
@@ -130,13 +137,13 @@ def _(s, d):
     return LO.degree_assortativity(gb(s, d))
 
 
-_ATT = "att as materialized (select p_partkey n, p_size z, p_size % 2 y from {part})"
+_ATT = f"att as materialized (select n, p_size z, p_size % 2 y from ({LINE_NODES}) ln join {{part}} on p_partkey = pk)"
 
 
 @query("measure_numeric_assortativity", f"{rec(base(G_B), _ATT)} select round(corr(x.z, y.z),6)+0.0 as assortativity from s join att x on x.n = s.a join att y on y.n = s.b")
 def _(s, d):
     g = gb(s, d)
-    att = derive(s, d, "select p_partkey as node_id, p_size as z from {part}")
+    att = derive(s, d, f"select n as node_id, p_size as z from ({LINE_NODES}) ln join {{part}} on p_partkey = pk")
     return r6(LO.numeric_assortativity(Graph(g.vertices.join(att, "node_id"), g.edges), "z"), "assortativity")
 
 
@@ -144,7 +151,7 @@ def _(s, d):
  ab as (select sum(rs*rs) q from (select i, sum(k)/(select k from t) rs from m group by 1) z) select round(((select sum(k) from m where i = j)/(select k from t) - q)/(1 - q),6)+0.0 as assortativity from ab""")
 def _(s, d):
     g = gb(s, d)
-    att = derive(s, d, "select p_partkey as node_id, p_size % 2 as y from {part}")
+    att = derive(s, d, f"select n as node_id, p_size % 2 as y from ({LINE_NODES}) ln join {{part}} on p_partkey = pk")
     return r6(LO.categorical_assortativity(Graph(g.vertices.join(att, "node_id"), g.edges), "y"), "assortativity")
 
 
@@ -433,7 +440,7 @@ def _(s, d):
 
 
 _SIGNED = """with recursive c as materialized ({g}), s as materialized (select u a, v b from c where {keep} union all select v, u from c where {keep}), v as materialized (select u n from c union select v from c),
- r(n,l) as (select n, n from v union select s.b, r.l from r join s on s.a = r.n where r.l < s.b), cc as materialized (select n, min(l) c from r group by 1)"""
+ r(n,l) using key (n) as (select n, n from v union select s.b, min(q.l) from r q join s on s.a = q.n join recurring.r t on t.n = s.b where q.l < t.l group by s.b), cc as materialized (select n, l c from r)"""
 
 
 @query("partition_repulsive", _SIGNED.format(g=CONTACTS, keep="weight <= 0") + " select n as node_id, c as component_id from cc")
@@ -468,15 +475,20 @@ def _(s, d):
 
 # --- enrichment -------------------------------------------------------------------------------
 
-_PN = f"pn as materialized (select pk n, node_id, residue_name, total_mutations_count m, avg_am_pathogenicity p, cast(greatest(ceil((mutability-mn)/((mx-mn)/5))-1,0) as int) b from ({NODES}) z, (select min(p_retailprice) mn, max(p_retailprice) mx from {{part}}) y)"
+# Part-level nodes with a mutability bin between edges at mn + i * width, the last bin closed by the maximum.
+_PARTS = f"pp as materialized (select pk, node_id, residue_name, total_mutations_count m, avg_am_pathogenicity p, (select count(*) from range(1,5) t(i) where mutability > mn + i*((mx-mn)/5))::int b from ({NODES}) z, (select min(p_retailprice) mn, max(p_retailprice) mx from {{part}}) y)"
+_PN = f"{_PARTS}, pn as materialized (select n, pp.* from ({LINE_NODES}) ln join pp on pp.pk = ln.pk)"
 _SG = "sr as materialized (select n, residue_name||'_'||b st, m::double x from pn)"
 
 
-def part_nodes(s, d) -> DataFrame:
-    """Node table keyed like the co-order graph, with a mutability bin."""
-    n = derive(s, d, NODES)
-    b = EN.equal_width_bins(n, "mutability", "bin_mutability", 5)
-    return b.withColumnRenamed("node_id", "residue_id").withColumnRenamed("pk", "node_id")
+def parts(s, d) -> DataFrame:
+    """Parts as residues, with a mutability bin."""
+    return EN.equal_width_bins(derive(s, d, NODES), "mutability", "bin_mutability", 5)
+
+
+def part_nodes(s, d, nodes: str = LINE_NODES) -> DataFrame:
+    """Node table keyed like the co-order graph."""
+    return parts(s, d).withColumnRenamed("node_id", "residue_id").join(derive(s, d, nodes).withColumnRenamed("n", "node_id"), "pk").drop("pk")
 
 
 def mcl_clusters(s, d) -> DataFrame:
@@ -488,7 +500,7 @@ def mcl_clusters(s, d) -> DataFrame:
 def _(s, d):
     n = part_nodes(s, d)
     c = mcl_clusters(s, d).join(n.select("node_id", "residue_id"), "node_id").select("cluster_id", F.col("residue_id").alias("node_id"))
-    return r6(G.cluster_statistics(c, n.drop("node_id").withColumnRenamed("residue_id", "node_id")), "observed_mean")
+    return r6(G.cluster_statistics(c, parts(s, d)), "observed_mean")
 
 
 @query("expected_null", f"""{rec(base(G_B), _mcl_cc(0.21), _PN, _SG)}, pl as (select st, count(*) n, avg(x) mu, var_samp(x) s2 from sr group by 1), kk as (select c, st, count(*) k from cl join sr on sr.n = cl.n group by 1, 2)
@@ -590,12 +602,12 @@ def _(s, d):
 
 
 def flagged(s, d) -> Graph:
-    g = gb(s, d)
-    f = part_nodes(s, d).select("node_id", (F.col("total_mutations_count") > 0).cast("int").alias("is_mut"))
+    g = gc(s, d)
+    f = part_nodes(s, d, FOLDED_NODES).select("node_id", (F.col("total_mutations_count") > 0).cast("int").alias("is_mut"))
     return Graph(cut(g.vertices.join(f, "node_id"), "vertices"), g.edges)
 
 
-@query("anchored_balls", f"""{rec(base(G_B), CC, _PN)}, z as (select c from cc group by 1 having count(*) >= 100), an as materialized (select cc.n, cc.c from cc join z on z.c = cc.c join pn on pn.n = cc.n where m > 0),
+@query("anchored_balls", f"""{rec(base(G_C), CC_KEYED, _PN.replace(LINE_NODES, FOLDED_NODES))}, z as (select c from cc group by 1 having count(*) >= 100), an as materialized (select cc.n, cc.c from cc join z on z.c = cc.c join pn on pn.n = cc.n where m > 0),
  w(x,n,d) as (select n, n, 0 from an union select w.x, s.b, w.d+1 from w join s on s.a = w.n where w.d < 3), bl as (select distinct x, n from w)
  select an.c as component_id, bl.x as anchor, bl.n as node_id from bl join an on an.n = bl.x where bl.x in (select x from bl group by 1 having count(*) between 4 and 60)""")
 def _(s, d):
@@ -610,7 +622,7 @@ def _(s, d):
 
 @query("sample_graph_pairs")
 def _(s, d):
-    flags = DS.mutation_flags(C.connected_components(ga(s, d)), derive(s, d, "select o_custkey as node_id, cast(o_orderkey % 5 = 0 as int) as hit from {orders}").groupBy("node_id").agg(F.max("hit").alias("hit")), "hit")
+    flags = DS.mutation_flags(C.connected_components(ga(s, d)), derive(s, d, "select l_orderkey*10+l_partkey%7 as node_id, cast(l_orderkey % 5 = 0 as int) as hit from {lineitem}").groupBy("node_id").agg(F.max("hit").alias("hit")), "hit")
     return DS.sample_pairs(flags.select(F.col("component_id").alias("graph_id"), "mutated"))
 
 
@@ -620,17 +632,21 @@ def _(s, d):
     return DS.sample_neighbours(g, g.vertices, [5, 5, 10])
 
 
-_X = "fx as materialized (select p_partkey n, p_size::double x0, p_retailprice/1000 x1 from {part})"
+_X = f"fx as materialized (select n, p_size::double x0, p_retailprice/1000 x1 from ({LINE_NODES}) ln join {{part}} on p_partkey = pk)"
 
 
 def features(s, d) -> DataFrame:
     return derive(s, d, "select p_partkey as node_id, array(cast(p_size as double), p_retailprice/1000) as x from {part}")
 
 
+def line_features(s, d) -> DataFrame:
+    return derive(s, d, f"select n as node_id, array(cast(p_size as double), p_retailprice/1000) as x from ({LINE_NODES}) ln join {{part}} on p_partkey = pk")
+
+
 @query("neighbour_mean", f"{rec(base(G_B), _X)} select s.a as node_id, round(avg(x0),6) as m0, round(avg(x1),6) as m1 from s join fx on fx.n = s.b group by 1")
 def _(s, d):
     g = gb(s, d)
-    m = NN.neighbour_mean(g, features(s, d).join(g.vertices, "node_id", "left_semi"))
+    m = NN.neighbour_mean(g, line_features(s, d).join(g.vertices, "node_id", "left_semi"))
     return m.select("node_id", F.round(F.col("nb")[0], 6).alias("m0"), F.round(F.col("nb")[1], 6).alias("m1"))
 
 
@@ -641,7 +657,7 @@ _W1, _W2, _B = [[0.1013577, -0.2031711], [0.3071937, 0.4057913]], [[0.5023171, 0
  select m.n as node_id, round(greatest(x0*0.1013577+x1*0.3071937+m0*0.5023171-m1*0.3019731+0.0113,0),5) as y0, round(greatest(-x0*0.2031711+x1*0.4057913+m0*0.1098673+m1*0.2087137-0.0217,0),5) as y1 from m join fx on fx.n = m.n""")
 def _(s, d):
     g = gb(s, d)
-    y = NN.sage_layer(g, features(s, d).join(g.vertices, "node_id", "left_semi"), _W1, _W2, _B)
+    y = NN.sage_layer(g, line_features(s, d).join(g.vertices, "node_id", "left_semi"), _W1, _W2, _B)
     return y.select("node_id", F.round(F.col("x")[0], 5).alias("y0"), F.round(F.col("x")[1], 5).alias("y1"))
 
 
@@ -649,13 +665,13 @@ def _(s, d):
 def _(s, d):
     g = gb(s, d)
     wide = [[0.1, 0.2], [0.0, 0.1], [0.3, -0.1], [0.2, 0.2]]
-    return NN.skip_concat(g, features(s, d).join(g.vertices, "node_id", "left_semi"), [(_W1, _W2, _B), (wide, wide, _B)])
+    return NN.skip_concat(g, line_features(s, d).join(g.vertices, "node_id", "left_semi"), [(_W1, _W2, _B), (wide, wide, _B)])
 
 
-@query("mean_readout", f"{rec(base(G_B), CC, _X)} select c as graph_id, round(avg(x0),6) as v0, round(avg(x1),6) as v1 from cc join fx on fx.n = cc.n group by 1")
+@query("mean_readout", f"{rec(base(G_B), CC, _X)} select c as graph_id, round(avg(x0),9) as v0, round(avg(x1),9) as v1 from cc join fx on fx.n = cc.n group by 1")
 def _(s, d):
-    x = C.connected_components(gb(s, d)).join(features(s, d), "node_id").withColumnRenamed("component_id", "graph_id")
-    return NN.mean_readout(x).select("graph_id", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[1], 6).alias("v1"))
+    x = C.connected_components(gb(s, d)).join(line_features(s, d), "node_id").withColumnRenamed("component_id", "graph_id")
+    return NN.mean_readout(x).select("graph_id", F.round(F.col("vec")[0], 9).alias("v0"), F.round(F.col("vec")[1], 9).alias("v1"))
 
 
 @query("bilinear_score", "select p_partkey as node_id, round(p_size*(0.1013577*p_retailprice/1000-0.2031711*p_size)+p_retailprice/1000*(0.3071937*p_retailprice/1000+0.4057913*p_size),4) as score from {part}")

@@ -54,7 +54,7 @@ MUTAGENE = """select case when l_quantity % 5 = 0 then 'Driver' when l_quantity
  case when l_suppkey % 7 = 0 then 'NM_1;X' else 'NM_'||cast(l_suppkey as string)||'; ENST'||lpad(cast(l_partkey % 400 as string),5,'0')||';ENST00000' end as transcripts,
  substring('ARNDC', cast(l_partkey % 5 + 1 as int), 1)||cast(l_suppkey % 40 as string)||'V' as mutation from {lineitem}"""
 CHASM = """select 'ENST'||lpad(cast(l_partkey % 400 as string),5,'0') as enst, 'p.'||substring('ARNDC', cast(l_partkey % 5 + 1 as int), 1)||cast(l_suppkey % 40 as string)||'K' as mutation
- from {lineitem} where l_quantity >= 48"""
+ from {lineitem}"""
 
 
 def nodes(s, d) -> DataFrame:
@@ -370,10 +370,10 @@ _CTX = f"""p as (select node_id, upper(regexp_replace(split_part(node_id,'_',1),
 
 
 @query("node_mutability", f"""with {_CTX}, {_score_sql('cx')}, t as (select node_id, count(*) as total, count(ctx) as known from cx group by 1)
- select p.node_id, case when t.known > 0 then round(coalesce(x.m, 0), 6) end as mutability from p left join t on t.node_id = p.node_id
- left join (select cx.node_id, sum(coalesce(score,0) / total) as m from cx join t on t.node_id = cx.node_id left join sc on sc.ctx = cx.ctx where cx.ctx is not null group by 1) x on x.node_id = p.node_id""")
+ select p.node_id, case when t.known > 0 then round(coalesce(x.m, 0), 9) end as mutability from p left join t on t.node_id = p.node_id
+ left join (select cx.node_id, sum(coalesce(score,0)) / max(total) as m from cx join t on t.node_id = cx.node_id left join sc on sc.ctx = cx.ctx where cx.ctx is not null group by 1) x on x.node_id = p.node_id""")
 def _(s, d):
-    return N.mutability(contexts(s, d), model(s, d)).select("node_id", F.round("mutability", 6).alias("mutability"))
+    return N.mutability(contexts(s, d), model(s, d)).select("node_id", F.round("mutability", 9).alias("mutability"))
 
 
 @query("context_scores", f"""with q as (select distinct substring(seq, k*3, 5) as ctx from ({CDS}) c, (select unnest(range(1, 29)) as k) n), {_score_sql('q')}
@@ -532,7 +532,7 @@ def _(s, d):
 # --- encodings --------------------------------------------------------------------------------
 
 
-@query("bin_equal_width", f"with n as materialized ({NODES}) select node_id, cast(greatest(ceil((mutability-mn)/((mx-mn)/42))-1,0) as int) as b from n, (select min(mutability) mn, max(mutability) mx from n) t")
+@query("bin_equal_width", f"with n as materialized ({NODES}) select node_id, (select count(*) from range(1,42) t(i) where mutability > mn + i*((mx-mn)/42))::int as b from n, (select min(mutability) mn, max(mutability) mx from n) t")
 def _(s, d):
     return EN.equal_width_bins(nodes(s, d), "mutability", "b").select("node_id", "b")
 

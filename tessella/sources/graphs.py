@@ -50,17 +50,28 @@ def read_weighted_edges(spark: SparkSession, path: str) -> Graph:
 
 
 def read_gml(spark: SparkSession, path: str) -> Graph:
-    """Nodes by id and edges by source and target; records end at a closing bracket."""
-    rec = spark.read.option("lineSep", "]").text(path)
+    """Nodes by id and edges by source and target.
+
+    A record is what stands in the brackets behind its keyword; brackets nested
+    in it (up to four deep) and quoted text are passed over.
+    """
+
+    def records(keyword: str) -> DataFrame:
+        body = F.regexp_replace("value", r'"[^"]*"', '""')
+        opened = spark.read.option("lineSep", keyword).text(path).where(F.col("value").rlike(r"^\s*\["))
+        body = F.regexp_replace(body, r"^\s*\[", "")
+        for _ in range(4):
+            body = F.regexp_replace(body, r"\w+\s*\[[^\[\]]*\]", "")
+        return opened.select(F.regexp_extract(body, r"^[^\[\]]*", 0).alias("value"))
 
     def number(name: str):
         return F.nullif(F.regexp_extract("value", rf"\b{name}\s+(-?\d+)", 1), F.lit("")).cast("long")
 
-    edges = rec.where(F.col("value").rlike(r"\bedge\s*\[")).select(
+    edges = records("edge").select(
         number("source").alias("s"), number("target").alias("t"),
         F.coalesce(F.nullif(F.regexp_extract("value", r"\b(?:weight|value)\s+(-?[\d.eE+-]+)", 1), F.lit("")).cast("double"), F.lit(1.0)).alias("weight"))
     g = Graph.from_edges(edges, "s", "t", ("weight",))
-    nodes = rec.where(F.col("value").rlike(r"\bnode\s*\[")).select(number("id").alias("node_id"))
+    nodes = records("node").select(number("id").alias("node_id"))
     return Graph(nodes.unionAll(g.vertices).distinct(), g.edges)
 
 
