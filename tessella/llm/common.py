@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,16 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends and its size is known to the planner.
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go.
 
-    Shuffle files of finished steps go when the driver's JVM collects its
-    garbage, so that is asked for here; a long job thus holds one step's files.
+    They go when the driver no longer holds the step's plan and its JVM collects
+    garbage, which a driver with little to do rarely does by itself.
     """
+    gc.collect()
+    for _ in range(2):  # what the first round finalizes, the second one frees
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends and its size is known to the planner."""
     spark = df.sparkSession
+    release(spark)
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.anchors import RangeHash, byte_symbols, runs_of
-from tessella.llm.common import written
+from tessella.llm.common import release, written
 from tessella.llm.words import text_chunks, word_hashes
 
 BYTES, WORDS = "bytes", "words"
@@ -99,6 +99,17 @@ def _window_rows(texts: DataFrame, kind: str, length: int) -> DataFrame:
     return texts.mapInArrow(run, "wh long, doc long, tag int, n long")
 
 
+def _own_windows(docs: DataFrame, classes: DataFrame, parted: DataFrame, kind: str, length: int, earlier: bool) -> DataFrame:
+    """(doc, tag, wh): windows of parted classes that their document keeps, as their first owner or as their only one."""
+    open_runs = classes.join(parted, F.col("key") == F.col("k"), "left_semi")
+    asked = written(open_runs.groupBy(F.col("rep.doc").alias("_d"), F.col("rep.tag").alias("_t")).agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), "n")).alias("runs")), "asked")
+    texts = docs.join(asked, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))).select("_doc", "_tag", "_text", "runs")
+    windows = _window_rows(texts, kind, length)
+    if earlier:
+        return windows.groupBy("wh").agg(F.min("doc").alias("doc")).select("doc", F.lit(0).alias("tag"), "wh")
+    return windows.groupBy("wh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "tag")).alias("s")).where("n = 1").select("s.doc", "s.tag", "wh")
+
+
 def recurring(docs: DataFrame, kind: str, length: int, anchor: int, earlier: bool) -> DataFrame:
     """Per _doc, the list ``_found`` of (part, tag, val).
 
@@ -107,26 +118,18 @@ def recurring(docs: DataFrame, kind: str, length: int, anchor: int, earlier: boo
     not removed. ``earlier``: a window recurs if a smaller id has it, else if it
     starts anywhere else.
     """
-    rows = run_rows(docs, kind, length, anchor)
-    keys = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")), "keys")
-    live = written(rows.join(keys, F.col("key") == F.col("k"), "left_semi"), "live")
+    keys = written(run_rows(docs, kind, length, anchor).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")), "keys")
+    live = written(run_rows(docs, kind, length, anchor).join(keys, F.col("key") == F.col("k"), "left_semi"), "live")
     classes = written(live.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "at")).alias("rep")), "classes")
     parted = written(classes.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select(F.col("key").alias("k")), "parted")
-
-    open_runs = classes.join(parted, F.col("key") == F.col("k"), "left_semi")
-    asked = written(open_runs.groupBy(F.col("rep.doc").alias("_d"), F.col("rep.tag").alias("_t")).agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), "n")).alias("runs")), "asked")
-    texts = docs.join(asked, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))).select("_doc", "_tag", "_text", "runs")
-    windows = _window_rows(texts, kind, length)
+    own = written(_own_windows(docs, classes, parted, kind, length, earlier), "own")
     if earlier:
-        own = windows.groupBy("wh").agg(F.min("doc").alias("doc")).select("doc", F.lit(0).alias("tag"), "wh")
         named = classes.join(parted, F.col("key") == F.col("k"), "left").select(F.col("key").alias("_key"), F.col("content").alias("_content"), F.col("rep.doc").alias("_lo"), F.col("k").isNotNull().alias("_open"))
         part = F.when(F.col("_lo") < F.col("doc"), 0).when(F.col("_open"), 1)
     else:
-        own = windows.groupBy("wh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "tag")).alias("s")).where("n = 1").select("s.doc", "s.tag", "wh")
         named = classes.select(F.col("key").alias("_key"), F.col("content").alias("_content"), F.col("n").alias("_n"))
         part = F.when(F.col("_n") > 1, 0).otherwise(1)
     named = written(named, "named")
-    own = written(own, "own")
     settled = live.join(named, (F.col("key") == F.col("_key")) & (F.col("content") == F.col("_content"))).select("doc", part.alias("part"), "tag", F.col("at").alias("val")).where("part is not null")
     every = settled.union(own.select("doc", F.lit(2), "tag", F.col("wh")))
     return written(every.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(F.struct("part", "tag", "val")).alias("_found")), "found")
@@ -177,6 +180,7 @@ def stripped(docs: DataFrame, id_col: str, text_col: str, kind: str, length: int
     """(id, n symbols, spans of removed symbols, kept bytes) of every row of ``docs``."""
     rows = identified(docs, id_col, text_col)
     found = recurring(rows.drop("_id"), kind, length, anchor, earlier)
+    release(docs.sparkSession)
     base = rows.schema["_id"].dataType.simpleString()
     joined = rows.join(found, F.col("_doc") == F.col("_d"), "left").select("_id", "_tag", "_text", "_found")
 
