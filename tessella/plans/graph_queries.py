@@ -288,8 +288,8 @@ def _(s, d):
     return BL.bridges(gb(s, d))
 
 
-@query("measure_biconnected_components", f"""{rec(base(G_A))}, sm as (select u, v from e),
- q(x,n,l) as (select a, b, b from s union select q.x, s.b, q.l from q join s on s.a = q.n where s.b <> q.x and q.l < s.b), lb as materialized (select x, n, min(l) l from q group by 1, 2),
+@query("measure_biconnected_components", f"""{rec(base(G_A), CC)},
+ q(x,n,l) as (select x.n, y.n, y.n from cc x join cc y on y.c = x.c and y.n <> x.n union select q.x, s.b, q.l from q join s on s.a = q.n where s.b <> q.x and q.l < s.b), lb as materialized (select x, n, min(l) l from q group by 1, 2),
  id as materialized (select u, v, row_number() over (order by u, v) i from e), inc as materialized (select u x, v y, i from id union all select v, u, i from id),
  lk as materialized (select p.i, o.i j from inc p join lb a on a.x = p.x and a.n = p.y join inc o on o.x = p.x join lb b on b.x = o.x and b.n = o.y where a.l = b.l),
  bb(i,l) as (select i, i from id union select lk.j, bb.l from bb join lk on lk.i = bb.i where bb.l < lk.j), bl as (select i, min(l) l from bb group by 1)
@@ -418,7 +418,7 @@ def _(s, d):
 
 
 def _eagle_sql(rounds: int = 8) -> str:
-    parts = ["""eq as materialized (select e.u, e.v from e join ew x on x.n = e.u join ew y on y.n = e.v where x.w = y.w), es as materialized (select u a, v b from eq union all select v, u from eq),
+    parts = ["""eq as materialized (select e.u, e.v from e join ew x on x.n = e.u join ew y on y.n = e.v where x.w - y.w = 0), es as materialized (select u a, v b from eq union all select v, u from eq),
  r(n,l) as (select n, n from v union select es.b, r.l from r join es on es.a = r.n where r.l < es.b), g as materialized (select n, min(l) c from r group by 1),
  gi as (select x.c, count(*) k from e join g x on x.n = e.u join g y on y.n = e.v and y.c = x.c group by 1), gn as (select c, count(*) k from g group by 1),
  p0 as materialized (select g.n, g.c from g join gn on gn.c = g.c join gi on gi.c = g.c where gn.k >= 2 and gi.k/(gn.k*(gn.k-1)/2) >= 0.2)"""]
