@@ -69,8 +69,11 @@ _PATTERNS = {
     "person": rf"\b(?:(?:{_TITLE})\b\.?[ ](?:(?:{_NAMES})[ ])?{_CAP}(?:-{_CAP})?|(?:{_NAMES})[ ]{_CAP})",
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
-#: Every pattern needs one of these; texts without them are passed on as they are.
-MAY_HOLD = rf"[0-9@]|(?i:password|passwd|pwd|secret|key|token)|ghp_|gho_|sk-|xoxb|AIza|AKIA|ASIA|{_TITLE}|{_NAMES}"
+#: Every pattern needs one of these (as the JVM's regular expressions have it); texts without them are passed on as they are.
+MAY_HOLD = (
+    r"[0-9@]|(?:^|[^A-Za-z0-9_])(?:(?=[PpSsAaTtGgXx])(?:(?i:passw|pwd|secret|api|access|token)|ghp_|gho_|sk-|sk_|xoxb|AIza|AKIA|ASIA)|"
+    rf"(?=[A-Z\x{{370}}-\x{{4FF}}])(?:{_TITLE}|{_NAMES}))"
+)
 
 
 def luhn(digits: str) -> bool:
