@@ -70,10 +70,7 @@ _PATTERNS = {
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: Every pattern needs one of these (as the JVM's regular expressions have it); texts without them are passed on as they are.
-MAY_HOLD = (
-    r"[0-9@]|(?:^|[^A-Za-z0-9_])(?:(?=[PpSsAaTtGgXx])(?:(?i:passw|pwd|secret|api|access|token)|ghp_|gho_|sk-|sk_|xoxb|AIza|AKIA|ASIA)|"
-    rf"(?=[A-Z\x{{370}}-\x{{4FF}}])(?:{_TITLE}|{_NAMES}))"
-)
+MAY_HOLD = rf"[0-9@=:]|(?=[A-Z\x{{370}}-\x{{4FF}}])(?:{_TITLE}|{_NAMES}|AIza|AKIA|ASIA)|(?=[gsx])(?:ghp_|gho_|sk-|sk_|xoxb)"
 
 
 def luhn(digits: str) -> bool:
