@@ -67,16 +67,16 @@ def truss_numbers(graph: Graph) -> DataFrame:
     return e.join(cur, ["u", "v"], "left").select("u", "v", (F.coalesce("h", F.lit(0)) + 2).cast("long").alias("truss"))
 
 
-def truss_sizes(graph: Graph, max_k: int = 100) -> DataFrame:
-    """(k, n_nodes) of the k-truss for k = 3 .. max_k - 1; the single row (-1, -1) if there is none."""
+def truss_sizes(graph: Graph, max_k: int | None = None) -> DataFrame:
+    """(k, n_nodes) of the k-truss for k = 3 .. max_k - 1 (all k by default); the single row (-1, -1) if there is none."""
     tn = cut(truss_numbers(graph), "truss")
     top = tn.agg(F.max("truss")).first()[0] or 2
     if top < 3:
         return graph.edges.sparkSession.createDataFrame([(-1, -1)], "k long, n_nodes long")
     per = tn.select(F.explode(F.array("u", "v")).alias("node_id"), "truss").groupBy("node_id").agg(F.max("truss").alias("truss"))
     hist = per.where("truss >= 3").groupBy("truss").agg(F.count("*").alias("n"))
-    # A node of truss t lies in every k-truss up to t; hist has at most max_k useful rows.
-    ks = hist.select(F.explode(F.sequence(F.lit(3).cast("long"), F.least("truss", F.lit(max_k - 1)))).alias("k"), "n")
+    # A node of truss t lies in every k-truss up to t; hist has a row for each truss number.
+    ks = hist.select(F.explode(F.sequence(F.lit(3).cast("long"), F.col("truss") if max_k is None else F.least("truss", F.lit(max_k - 1)))).alias("k"), "n")
     return ks.groupBy("k").agg(F.sum("n").alias("n_nodes"))
 
 

@@ -12,8 +12,6 @@ from tessella.runtime import cut, global_rank
 
 # Distinct (stratum, value) pairs up to which the pools are sent to every task (about 16 bytes each).
 POOL_ENTRIES = 4_000_000
-# Distinct p-values up to which one task orders them.
-P_VALUES = 1_000_000
 # Added to both sides of the log ratio.
 EPSILON = 1e-10
 
@@ -178,7 +176,7 @@ def _draw_by_rank(units: DataFrame, strata: DataFrame, plan: DataFrame, n_permut
     return sums.join(obs, "cluster_id").groupBy("cluster_id").agg(F.sum(hit.cast("long")).alias("ge"), F.sum("null").alias("total"))
 
 
-def q_values(df: DataFrame, p: str = "p_value", out: str = "q_value", one_task: int = P_VALUES) -> DataFrame:
+def q_values(df: DataFrame, p: str = "p_value", out: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values.
 
     Ties share a q-value, so only distinct p-values need ordering; permutation
@@ -186,20 +184,16 @@ def q_values(df: DataFrame, p: str = "p_value", out: str = "q_value", one_task:
     """
     m = df.count()
     distinct = cut(df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), "p")
-    if distinct.count() <= one_task:
-        up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        down = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        raw = distinct.withColumn("_r", F.col("_p") * m / F.sum("_c").over(up))
-        q = raw.withColumn("_q", F.least(F.lit(1.0), F.min("_r").over(down)))
-    else:
-        ranked = global_rank(distinct, F.col("_p"), rank="_k", weight="_c")
-        raw = ranked.withColumn("_r", F.col("_p") * m / F.col("_k"))
-        placed = cut(raw.repartitionByRange("_p").withColumn("_pid", F.spark_partition_id()), "q")
-        later = Window.orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        tail = placed.groupBy("_pid").agg(F.min("_r").alias("_m")).withColumn("_tail", F.min("_m").over(later)).select("_pid", "_tail")
-        down = Window.partitionBy("_pid").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        q = placed.join(F.broadcast(tail), "_pid").withColumn("_q", F.least(F.lit(1.0), F.min("_r").over(down), "_tail"))
-    return df.join(q.select("_p", F.col("_q").alias(out)), F.col(p) == F.col("_p")).drop("_p")
+    ranked = global_rank(distinct, F.col("_p"), rank="_k", weight="_c")
+    raw = ranked.withColumn("_r", F.col("_p") * m / F.col("_k"))
+    placed = cut(raw.repartitionByRange("_p").withColumn("_pid", F.spark_partition_id()), "q")
+    later = Window.orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tail = placed.groupBy("_pid").agg(F.min("_r").alias("_m")).withColumn("_tail", F.min("_m").over(later)).select("_pid", "_tail")
+    down = Window.partitionBy("_pid").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = placed.join(F.broadcast(tail), "_pid").withColumn("_q", F.least(F.lit(1.0), F.min("_r").over(down), "_tail"))
+    # Written, so that a p-value which most rows share can be split in the join.
+    q = cut(q.select("_p", F.col("_q").alias(out)), "q")
+    return df.join(q, F.col(p) == F.col("_p")).drop("_p")
 
 
 def significance_report(results: DataFrame, alpha: float = 0.05) -> DataFrame:

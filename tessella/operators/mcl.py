@@ -76,8 +76,8 @@ def markov_matrix(graph: Graph, expansion: int = 3, inflation: float = 5.0, prun
         moved = both.agg(F.sqrt(F.sum(F.col("d") * F.col("d")))).first()[0] or 0.0
         m = x
         if moved < tol:
-            break
-    return m
+            return m
+    raise RuntimeError("the matrix has not settled; raise max_iter")
 
 
 def markov_clusters(graph: Graph, min_cluster_size: int = 2, singletons: bool = True, **params) -> MarkovClusters:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,11 +71,22 @@ def _checked(names: list[str], known: dict) -> list[str]:
     return picked
 
 
-def compute_measures(graph: Graph, names: list[str]) -> dict[str, DataFrame]:
-    """The named measures ('all' for every one) of the graph without self-loops."""
-    picked = _checked(names, MEASURES)
+def _att_assortativity(graph: Graph, attributes: dict[str, str]) -> DataFrame:
+    """(attribute, assortativity) for node columns named with their kind, numeric or categorical."""
+    kinds = {"numeric": local.numeric_assortativity, "categorical": local.categorical_assortativity}
+    parts = [kinds[kind](graph, name).select(F.lit(name).alias("attribute"), F.col("assortativity").cast("double").alias("assortativity")) for name, kind in attributes.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def compute_measures(graph: Graph, names: list[str], attributes: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The named measures ('all' for every one) of the graph without self-loops.
+
+    ``attributes`` ({node column: "numeric" or "categorical"}) adds ``att_assortativity`` to the known ones.
+    """
+    known = {**MEASURES, **({"att_assortativity": lambda g: _att_assortativity(g, attributes)} if attributes else {})}
+    picked = _checked(names, known)
     g = graph.without_loops().pinned()
-    return {n: MEASURES[n](g) for n in picked}
+    return {n: known[n](g) for n in picked}
 
 
 def compute_clusters(graph: Graph, names: list[str], params: dict[str, dict] | None = None) -> dict[str, DataFrame]:

@@ -10,10 +10,6 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Largest row count for which a one-task exact percentile is used; above it the
-# range-partitioned rank is taken instead.
-PERCENTILE_ROWS = 1_000_000
-
 
 def build_session(app: str = "tessella", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators are tuned for.
@@ -135,8 +131,6 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[floa
     n = vals.count()
     if n == 0:
         return [float("nan")] * len(probs)
-    if n <= PERCENTILE_ROWS:
-        return list(vals.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()["q"])
     counts = vals.groupBy("x").agg(F.count("*").alias("c"))
     ranked = global_rank(counts, F.col("x"), rank="hi", weight="c")
     need = sorted({k for p in probs for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})

@@ -69,9 +69,9 @@ def read_gml(spark: SparkSession, path: str) -> Graph:
 
     edges = records("edge").select(
         number("source").alias("s"), number("target").alias("t"),
-        F.coalesce(F.nullif(F.regexp_extract("value", r"\b(?:weight|value)\s+(-?[\d.eE+-]+)", 1), F.lit("")).cast("double"), F.lit(1.0)).alias("weight"))
+        F.coalesce(F.nullif(F.regexp_extract("value", r"\b(?:weight|value)\s+(-?[\d.eE+-]+)", 1), F.lit("")).cast("double"), F.lit(1.0)).alias("weight")).where("s is not null and t is not null")
     g = Graph.from_edges(edges, "s", "t", ("weight",))
-    nodes = records("node").select(number("id").alias("node_id"))
+    nodes = records("node").select(number("id").alias("node_id")).where("node_id is not null")
     return Graph(nodes.unionAll(g.vertices).distinct(), g.edges)
 
 

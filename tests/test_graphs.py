@@ -261,3 +261,24 @@ def test_weighted_assortativity_inputs(make):
     from tessella.graph import Graph
 
     assert LO.numeric_assortativity(Graph(v, g.edges), "x").first()[0] == pytest.approx(np.corrcoef([1, 2, 3, 2, 3, 4], [2, 3, 4, 1, 2, 3])[0, 1])
+
+
+def test_gml_with_nested_records(spark, tmp_path):
+    from tessella.sources.graphs import read_gml
+
+    (tmp_path / "g.gml").write_text(
+        'graph [ directed 0 node [ id 1 label "a [edge [ x" graphics [ x 1 fill [ c 2 ] ] ] node [ id 2 ] node [ id 3 graphics [ y 2 ] ]'
+        " edge [ source 1 graphics [ width 2 ] target 2 value 1.5 ] edge [ source 2 target 3 graphics [ id 9 ] ] ]")
+    g = read_gml(spark, f"file://{tmp_path}/g.gml")
+    assert sorted(r.node_id for r in g.vertices.collect()) == [1, 2, 3]
+    assert sorted((r.u, r.v, r.weight) for r in g.edges.collect()) == [(1, 2, 1.5), (2, 3, 1.0)]
+
+
+def test_attribute_assortativity_in_the_registry(spark, make):
+    from tessella.graph import Graph
+    from tessella.plans.measures import compute_measures
+
+    g = make([(0, 1), (1, 2), (2, 3), (3, 0), (0, 2)])
+    att = spark.createDataFrame([(i, i % 2, "xy"[i // 2]) for i in range(4)], "node_id long, n int, k string")
+    out = compute_measures(Graph(g.vertices.join(att, "node_id"), g.edges), ["att_assortativity"], {"n": "numeric", "k": "categorical"})
+    assert {r.attribute for r in out["att_assortativity"].collect()} == {"n", "k"}
