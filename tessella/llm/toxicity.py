@@ -2,17 +2,16 @@
 
 Terms are lower-cased words and the four to six letter openings of longer words
 (so unseen endings still count). A bounded, hash-chosen sample of labelled rows
-is the example set; the terms that set the two labels apart (z-score of the
-share of documents that hold them) are the vector space, weighted by
-``(1 + ln tf) * idf``.
-
-Examples are laid out in blocks. For each term the index keeps, block by block,
-the largest weight and the postings. A query sums the block maxima of its terms
-to bounds, visits blocks from the highest bound down and stops when no bound
-can beat the k-th similarity found: the neighbours are exact. Their labels vote
-with their similarities; a logistic curve, fitted on the examples with
-themselves left out, turns the vote into a calibrated score. Texts without any
-term of the space get the share of toxic ones among such examples.
+is the example set; every term of its texts is a dimension of the vector space,
+weighted by ``(1 + ln tf) * idf``. Terms are known by 64-bit hashes.
+
+Terms that many examples hold are kept as rows of a dense matrix, all others as
+postings. A query is scored against all examples in single precision; those
+within the rounding error of the k-th similarity are scored again in double
+precision over whole vectors: the neighbours are exact. Their labels vote with
+their similarities; a logistic curve, fitted on the examples with themselves
+left out, turns the vote into a calibrated score. Texts without any term of the
+space get the share of toxic ones among such examples.
 
 Edge cases: null and empty texts have no terms; labels that are null, of unknown
 documents or of null ids teach nothing; several labels of a document count as
@@ -23,10 +22,13 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,12 +37,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import written
 
-#: Bounds of what is fitted: labelled rows looked at, and terms of the space.
+#: Bound of what is fitted: labelled rows looked at.
 EXAMPLES = 12_000
-TERMS = 4_096
-MIN_Z = 8.0
-MIN_DOCUMENTS = 4
-BLOCK = 64
+#: Rows of the dense matrix: terms of the largest document frequency, held by at least one in DENSE_SHARE examples.
+DENSE_TERMS = 1_024
+DENSE_SHARE = 64
+#: More than the error of a cosine summed in single precision.
+ROUNDING = 1e-5
+CHUNK = 64
 NEIGHBOURS = 15
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,86 +64,153 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def term_hashes(terms: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in terms), np.uint64)
+
+
+def _gathered(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, row lengths) of the given rows of a list that begins row ``r`` at ``first[r]``."""
+    n = first[rows + 1] - first[rows]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[rows] - ends + n, n), n
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of the examples, and the calibration of their votes."""
+    """Weights of the examples by example and by term, and the calibration of their votes."""
 
-    numbers: dict[str, int]
+    keys: np.ndarray  # sorted hashes of the terms; the place is the term's number
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    tops: np.ndarray  # terms x blocks: largest weight
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]  # (term, block): places in the block, weights
+    first: np.ndarray  # where an example's terms begin
+    terms: np.ndarray
+    tf: np.ndarray
+    weights: np.ndarray
+    dense_row: np.ndarray  # row of a term in the dense matrix, or -1
+    dense: np.ndarray  # frequent terms x examples
+    at: np.ndarray  # where a rare term's postings begin
+    holders: np.ndarray
+    held: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
     blank: float = 0.0
 
+    def __getstate__(self) -> tuple:
+        """What the weights are made of, packed: every executor gets and keeps a copy."""
+        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.terms, prepend=np.int32(0)), self.tf)]
+        return packed, self.keys, self.ids, self.labels, self.first, self.slope, self.shift, self.blank
+
+    def __setstate__(self, state: tuple) -> None:
+        (terms, tf), keys, ids, labels, first, self.slope, self.shift, self.blank = state
+        terms = np.cumsum(np.frombuffer(zlib.decompress(terms), np.int32), dtype=np.int32)
+        self.__dict__.update(_weighted(ids, labels, first, terms, np.frombuffer(zlib.decompress(tf), np.int32), keys).__dict__ | self.__dict__)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of terms by hash, -1 for those no example holds."""
+        if len(self.keys) == 0:
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[t] for t in terms])) * self.idf[terms] if len(terms) else np.zeros(0)
+        return self.weighted(terms, np.array([counts[t] for t in terms.tolist()], np.int64))
+
+    def weighted(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.idf[terms]
         norm = np.sqrt((w * w).sum())
         return terms, w / norm if norm > 0 else w
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the k most similar, best first; ``skip`` is left out."""
-        bounds = w @ self.tops[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for block in order:
-            if bounds[block] <= 0 or len(best_s) == k and bounds[block] <= best_s[-1]:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist()):
-                if (hit := self.postings.get((t, int(block)))) is not None:
-                    scores[hit[0]] += x * hit[1]
-            if skip // BLOCK == block and skip >= 0:
-                scores[skip % BLOCK] = 0
-            at = np.flatnonzero(scores)
-            i, s = np.concatenate([best_i, at + block * BLOCK]), np.concatenate([best_s, scores[at]])
-            keep = np.lexsort((i, -s))[:k]
-            best_i, best_s = i[keep], s[keep]
-        return best_i, best_s
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, similarities) of the k most similar to each vector, best first; its ``skip`` is left out."""
+        n, whole = len(self.ids), np.zeros(len(self.idf))
+        for begin in range(0, len(vectors), CHUNK):
+            part = vectors[begin : begin + CHUNK]
+            q = np.zeros((len(part), len(self.dense)), np.float32)
+            for j, (terms, w) in enumerate(part):
+                row = self.dense_row[terms]
+                q[j, row[row >= 0]] = w[row >= 0]
+            rough = q @ self.dense
+            for j, (terms, w) in enumerate(part):
+                s, rare = rough[j], self.dense_row[terms] < 0
+                places, lengths = _gathered(self.at, terms[rare])
+                if len(places):
+                    s = s + np.bincount(self.holders[places], self.held[places] * np.repeat(w[rare], lengths), n)
+                if skip is not None:
+                    s[skip[begin + j]] = 0
+                edge = max(np.partition(s, n - k)[n - k] - ROUNDING, 0) if n > k else 0
+                near = np.flatnonzero(s > edge)
+                places, lengths = _gathered(self.first, near)
+                if len(places) == 0:
+                    yield near, np.zeros(0)
+                    continue
+                whole[terms] = w
+                exact = np.add.reduceat(whole[self.terms[places]] * self.weights[places], np.cumsum(lengths) - lengths)
+                whole[terms] = 0
+                keep = np.lexsort((near, -exact))[:k]
+                yield near[keep], exact[keep]
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.nearest_all([(terms, w)], k=k))
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         """Similarity-weighted share of toxic neighbours as log-odds, drawn towards even by one weak vote."""
         toxic = float((s * self.labels[i]).sum())
         return float(np.log((toxic + 0.05) / (float(s.sum()) - toxic + 0.05)))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        terms, w = self.vector(counts)
-        i, s = self.nearest(terms, w) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-        if len(i) == 0:
-            return self.blank, i, s
-        return float(1 / (1 + np.exp(-(self.slope * self.vote(i, s) + self.shift)))), i, s
+    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and similarities of texts given as (terms, how often)."""
+        for i, s in self.nearest_all([self.weighted(*c) for c in counts]):
+            yield (float(1 / (1 + np.exp(-(self.slope * self.vote(i, s) + self.shift)))) if len(i) else self.blank), i, s
 
 
 def build_index(ids, labels, counts: list[dict[int, int]], terms: list[str]) -> Index:
-    """Index of examples given as term-number counts, calibrated with each example left out."""
-    n, numbers = len(ids), {t: j for j, t in enumerate(terms)}
-    df = np.zeros(len(terms))
-    for c in counts:
-        df[list(c)] += 1
-    index = Index(numbers, np.log((1 + n) / (1 + df)) + 1, np.asarray(ids), np.asarray(labels, float), np.zeros((len(terms), -(-n // BLOCK)), np.float32), {})
-    vectors = [index.vector(c) for c in counts]
-    rows: dict[tuple[int, int], tuple[list, list]] = {}
-    for e, (ts, w) in enumerate(vectors):
-        for t, x in zip(ts.tolist(), w.tolist()):
-            at = rows.setdefault((t, e // BLOCK), ([], []))
-            at[0].append(e % BLOCK)
-            at[1].append(x)
-    for (t, block), (at, w) in rows.items():
-        index.postings[t, block] = np.array(at), np.array(w)
-        index.tops[t, block] = np.nextafter(np.float32(max(w)), np.float32(2))
+    """Index of examples given as counts by place in ``terms``."""
+    flat = np.array([t for c in counts for t in c], np.int32)
+    tf = np.array([n for c in counts for n in c.values()], np.int32)
+    return _indexed(np.asarray(ids), np.asarray(labels, float), np.array([len(c) for c in counts], np.int64), flat, tf, np.arange(len(terms), dtype=np.uint64))
+
+
+def _weighted(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, terms: np.ndarray, tf: np.ndarray, keys: np.ndarray) -> Index:
+    """Index of examples, not calibrated; the terms of example ``e`` begin at ``first[e]``."""
+    n = len(ids)
+    df = np.bincount(terms, minlength=len(keys)) if len(keys) else np.zeros(0, np.int64)
+    frequent = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+    frequent = frequent[df[frequent] * DENSE_SHARE >= n]
+    dense_row = np.full(len(keys), -1, np.int32)
+    dense_row[frequent] = np.arange(len(frequent))
+    at = np.concatenate([[0], np.cumsum(np.where(dense_row < 0, df, 0))]).astype(np.int64)
+    index = Index(
+        keys, np.log((1 + n) / (1 + df)) + 1, ids, labels, first, terms, tf, np.zeros(len(terms)), dense_row, np.zeros((len(frequent), n), np.float32),
+        at, np.zeros(at[-1], np.int32), np.zeros(at[-1], np.float32),
+    )
+    end = at[:-1].copy()
+    for e in range(n):  # one example at a time, so that nothing but the index takes room
+        ts, w = index.weighted(terms[first[e] : first[e + 1]], tf[first[e] : first[e + 1]])
+        index.weights[first[e] : first[e + 1]] = w
+        row = dense_row[ts]
+        index.dense[row[row >= 0], e] = w[row >= 0]
+        place = end[ts[row < 0]]
+        index.holders[place], index.held[place] = e, w[row < 0]
+        end[ts[row < 0]] += 1
+    return index
+
+
+def _indexed(ids: np.ndarray, labels: np.ndarray, size: np.ndarray, terms: np.ndarray, tf: np.ndarray, keys: np.ndarray) -> Index:
+    """Index of examples with ``size`` terms each, calibrated with each example left out."""
+    n, first = len(ids), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    index = _weighted(ids, labels, first, terms, tf, keys)
+    vectors = [(terms[a:b], index.weights[a:b]) for a, b in zip(first[:-1], first[1:])]
     votes, truth, blank = [], [], [0.0, 0.0]
-    for e, (ts, w) in enumerate(vectors):
-        i, s = index.nearest(ts, w, skip=e) if len(ts) else (np.zeros(0, np.int64), np.zeros(0))
+    for e, (i, s) in enumerate(index.nearest_all(vectors, skip=list(range(n)))):
         if len(i):
             votes.append(index.vote(i, s))
-            truth.append(index.labels[e])
+            truth.append(labels[e])
         else:
-            blank[0] += index.labels[e]
+            blank[0] += labels[e]
             blank[1] += 1
-    prior = (index.labels.sum() + 0.1) / (n + 1) if n else 0.0
+    prior = (labels.sum() + 0.1) / (n + 1) if n else 0.0
     index.blank = float((blank[0] + prior) / (blank[1] + 1))
     index.slope, index.shift = _logistic(np.array(votes), np.array(truth))
     return index
@@ -160,66 +231,73 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_examples: int = EXAMPLES, max_terms: int = TERMS) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_examples: int = EXAMPLES) -> Index:
     """Fit the index on at most ``max_examples`` labelled rows, those with the least hash of their id."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("_lid")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     # At most max_examples rows of two numbers are sent to the tasks.
     joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t"))
-    examples = written(joined, "examples")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for y, t in zip(batch["_y"], batch["_t"]):
-                for term in term_counts(t):
-                    seen.setdefault(term, [0, 0])[y] += 1
-            yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["term", "c0", "c1"])
-
-    n1, n = examples.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count("*")).first()
-    if n == 0:
-        return build_index([], [], [], [])
-    totals = examples.select("_y", "_t").mapInPandas(count, "term string, c0 long, c1 long").groupBy("term").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    p = (F.col("c0") + F.col("c1")) / F.lit(float(n))
-    n0 = n - n1
-    z = (F.col("c1") / F.lit(max(n1, 1.0)) - F.col("c0") / F.lit(max(n0, 1.0))) / F.sqrt(p * (1 - p) * (1.0 / max(n1, 1) + 1.0 / max(n0, 1)) + 1e-12)
-    picked = totals.where(F.col("c0") + F.col("c1") >= MIN_DOCUMENTS).withColumn("z", F.abs(z)).where(f"z >= {MIN_Z}").orderBy(F.col("z").desc(), "term").limit(max_terms)
-    terms = [r["term"] for r in picked.select("term").collect()]
-    numbers = {t: j for j, t in enumerate(terms)}
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[(numbers[t], c) for t, c in sorted(term_counts(x).items()) if t in numbers] for x in batch["_t"]]
-            yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "t": [[a for a, _ in f] for f in found], "c": [[b for _, b in f] for f in found]})
-
-    rows = sorted(examples.mapInPandas(vectors, "_id long, _y int, t array<int>, c array<int>").collect())
-    return build_index([r["_id"] for r in rows], [r["_y"] for r in rows], [dict(zip(r["t"], r["c"])) for r in rows], terms)
+            held = []
+            for c in map(term_counts, batch["_t"]):
+                h, n = term_hashes(list(c)), np.array(list(c.values()), np.int32)
+                held.append((h[order := np.argsort(h)].tobytes(), n[order].tobytes()))
+            yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "h": [h for h, _ in held], "c": [c for _, c in held]})
+
+    # Twelve bytes for each term of each example come to the driver, partition by partition.
+    rows = written(joined.mapInPandas(count, "_id long, _y int, h binary, c binary"), "examples").toLocalIterator()
+    held = sorted(((r["_id"], r["_y"], np.frombuffer(r["h"], np.uint64), np.frombuffer(r["c"], np.int32)) for r in rows), key=lambda x: x[0])
+    size = np.array([len(x[2]) for x in held], np.int64)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in held)])
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    terms, tf = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ((np.searchsorted(keys, h).astype(np.int32) for _, _, h, _ in held), (c for *_, c in held)))
+    ids, marks = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], float)
+    held.clear()
+    return _indexed(ids, marks, size, terms, tf, keys)
 
 
 class _Scorer:
-    """Scores texts in a task, remembering words and equal term counts."""
+    """Scores texts in a task, remembering the term numbers of words and openings."""
 
     def __init__(self, index: Index):
-        self.index, self.words, self.known = index, {}, {}
-
-    def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        counts: dict[int, int] = {}
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            hit = self.words.get(word)
-            if hit is None:
-                if len(self.words) > 200_000:
-                    self.words.clear()
-                hit = self.words[word] = tuple(self.index.numbers[t] for t in word_terms(word) if t in self.index.numbers)
-            for t in hit:
-                counts[t] = counts.get(t, 0) + n
-        key = tuple(sorted(counts.items()))
-        if key not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            score, i, s = self.index.score(counts)
-            self.known[key] = (score, self.index.ids[i].tolist(), s.tolist())
-        return self.known[key]
+        self.index, self.words, self.openings = index, {}, {}
+
+    def learn_words(self, new: list[str]) -> None:
+        terms = [word_terms(w) for w in new]
+        unseen = [t for t in dict.fromkeys(chain.from_iterable(ts[1:] for ts in terms)) if t not in self.openings]
+        found = self.index.numbers(term_hashes(new + unseen)).tolist()
+        self.openings.update(zip(unseen, found[len(new) :]))
+        for w, x, ts in zip(new, found, terms):
+            self.words[w] = [y for y in (x, *(self.openings[t] for t in ts[1:])) if y >= 0]
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(_WORD.findall((text or "").lower()))
+        if len(self.words) > 200_000 or len(self.openings) > 400_000:
+            self.words.clear()
+            self.openings.clear()
+        if new := [w for w in words if w not in self.words]:
+            self.learn_words(new)
+        found = [self.words[w] for w in words]
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        n = np.repeat(np.fromiter(words.values(), np.int64), np.fromiter(map(len, found), np.int64))
+        terms, place = np.unique(flat, return_inverse=True)
+        return terms, np.bincount(place, n, len(terms))
+
+    def __call__(self, texts) -> Iterator[tuple[float, list[int], list[float]]]:
+        """One result a text; equal term counts of a batch are scored once."""
+        places: dict[tuple[bytes, bytes], int] = {}
+        distinct, at = [], []
+        for t in texts:
+            c = self.counts(t)
+            at.append(places.setdefault((c[0].tobytes(), c[1].tobytes()), len(places)))
+            if at[-1] == len(distinct):
+                distinct.append(c)
+        done = [(score, self.index.ids[i].tolist(), s.tolist()) for score, i, s in self.index.scores(distinct)]
+        return iter([done[a] for a in at])
 
 
 def score_texts(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +307,7 @@ def score_texts(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(handle.value)
         for batch in batches:
-            out = [scorer(t) for t in batch["t"]]
+            out = list(scorer(batch["t"]))
             yield pd.DataFrame({"k": batch["k"], "score": [x[0] for x in out], "neighbours": [x[1] for x in out], "similarities": [x[2] for x in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -244,6 +322,6 @@ def toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(handle.value)
         for batch in batches:
-            yield pd.Series([scorer(t)[0] for t in batch], dtype=float)
+            yield pd.Series([x[0] for x in scorer(batch)], dtype=float)
 
     return F.pandas_udf(run, "double")(F.col(text_col))

@@ -151,6 +151,22 @@ def test_block_max_search_is_exact():
         assert np.allclose(s, want[: len(s)]) and (len(s) == 15 or want[len(s)] == 0)
 
 
+def test_toxicity_keeps_every_term_of_few_examples(spark):
+    from tessella.llm.toxicity import learn, score_texts
+
+    texts = [(i, f"{'dunce' if i % 2 else 'kind'} tale{i} alpha") for i in range(12)]
+    docs = spark.createDataFrame(texts + [(20, "a dunce there"), (21, "kind people"), (22, "tale4")], "doc_id long, text string")
+    index = learn(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int"))
+    assert len(index.keys) == len({t for _, x in texts for w in x.split() for t in ([w] if not w.startswith("tale") else ["tale"])} | {"dunc*", "alph*"})
+    out = {r.doc_id: r for r in score_texts(docs, index).collect()}
+    assert out[20].predicted == 1 and out[21].predicted == 0 and out[20].score != out[21].score
+    assert all(i % 2 for i in out[20].neighbours) and len(out[20].neighbours) == 6
+    # cosine over whole vectors: (1 + ln tf) * idf of all terms of the example, seen once or always
+    idf = lambda df: math.log(13 / (1 + df)) + 1
+    whole = math.sqrt(2 * idf(6) ** 2 + idf(12) ** 2 * 3)
+    assert math.isclose(out[20].similarities[0], math.sqrt(2) * idf(6) / whole)
+
+
 # --- 3: language model --------------------------------------------------------
 
 
