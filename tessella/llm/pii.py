@@ -9,7 +9,9 @@ turn into other given names of the same gender and script, addresses stay
 routable or private as they were. Candidates that two atoms share, or that are
 themselves an atom of the corpus, are drawn anew until all are distinct.
 
-Given names come from short lists, so those are permuted as a whole: distinct by
+Persons are found behind a title or by a given name of the lists below, no other
+way; a name found so is replaced in the rest of its text too, where it stands
+alone. Given names come from short lists, so those are permuted as a whole: distinct by
 construction and never themselves.
 
 Edge cases: a null text stays null and an empty one empty; repeated rows get
@@ -70,7 +72,11 @@ _PATTERNS = {
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: Every pattern needs one of these (as the JVM's regular expressions have it); texts without them are passed on as they are.
-MAY_HOLD = rf"[0-9@=:]|(?=[A-Z\x{{370}}-\x{{4FF}}])(?:{_TITLE}|{_NAMES}|AIza|AKIA|ASIA)|(?=[gsx])(?:ghp_|gho_|sk-|sk_|xoxb)"
+MAY_HOLD = rf"[\p{{Nd}}@=:]|(?=[A-Z\x{{370}}-\x{{4FF}}])(?:{_TITLE}|{_NAMES}|AIza|AKIA|ASIA)|(?=[gsx])(?:ghp_|gho_|sk-|sk_|xoxb)"
+
+
+_OWNER = re.compile(r"['’]s$")
+_WORDS = re.compile(r"(?<![\w'’-])\w+(?:['’-][\w]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -83,7 +89,28 @@ def script_of(word: str) -> str:
 
 
 def find_entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, type, atom) of what is to be replaced, in order and without overlap."""
+    """(start, end, type, atom) of what is to be replaced, in order and without overlap.
+
+    Names that stand in a full match are also found wherever else the text has them alone.
+    """
+    found = list(_matches(text))
+    names = {atom: kind for _, _, kind, atom in found if kind in ("given", "surname")}
+    if not names:
+        yield from found
+        return
+    at = 0
+    for a, b, *entity in [*found, (len(text), len(text))]:
+        for m in _WORDS.finditer(text, at, a):
+            word = _OWNER.sub("", m.group())
+            # Only words written like a name: "Weber", not "weber".
+            if word[0].isupper() and (kind := names.get(word.lower())) and not (m.end() == a < len(text) and text[a].isalnum()):
+                yield m.start(), m.start() + len(word), kind, word.lower()
+        if entity:
+            yield a, b, *entity
+        at = b
+
+
+def _matches(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in _ENTITY.finditer(text):
         kind, (a, b) = m.lastgroup, m.span()
         if m.group("value") is not None:
@@ -111,11 +138,11 @@ def find_entities(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 def _name_parts(value: str, at: int) -> Iterator[tuple[int, int, str, str]]:
     for m in re.finditer(r"[\w'’]+(?:-[\w'’]+)*", value):
-        word = m.group()
+        word = _OWNER.sub("", m.group())
         if m.start() == 0 and word in TITLES:
             continue
         kind = "given" if word.lower() in _GENDER else "surname"
-        yield at + m.start(), at + m.end(), kind, word.lower()
+        yield at + m.start(), at + m.start() + len(word), kind, word.lower()
 
 
 class Stream:

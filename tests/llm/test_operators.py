@@ -266,6 +266,20 @@ def test_surrogates(spark, odd, nothing):
     assert replace_entities(nothing).count() == 0
 
 
+def test_surrogates_of_names_alone_and_of_other_digits(spark):
+    from tessella.llm.pii import replace_entities
+
+    texts = ["Weber came. Anna Weber's dog; WEBER said weber, and Anna left.", "call +49 ３０ １２３４ ５６７８ now".replace("+49", "+４９"), "Weber alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in replace_entities(docs, count_col="n").collect()}
+    first = out[0].text.split(" ")
+    name, given = first[0], first[2]
+    assert out[0].n == 5 and name != "Weber" and given != "Anna"
+    assert out[0].text == f"{name} came. {given} {name}'s dog; {name.upper()} said weber, and {given} left."
+    assert out[1].n == 1 and "１２３４" not in out[1].text
+    assert out[2].text == "Weber alone"
+
+
 def test_surrogates_stay_distinct(spark):
     """More atoms than one round can settle: two-digit tails collide and are drawn anew."""
     from tessella.llm.pii import surrogates
