@@ -193,3 +193,108 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, crc_mod("doc_id", 7) != 2)
     return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 11 conversation repair ---------------------------------------------------
+
+_STATES = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+_GOES = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+
+
+def _own_edit(s: int) -> str:
+    """The best edit of a row in state ``s`` as (cost, audit, repaired lines), given those of the rest by state."""
+    to, role = _GOES[s]
+    keeps = " ".join(f"when ini = '{i}' then {{'c': extra + f[{t + 1}].c, 'a': 'K' || f[{t + 1}].a, 'r': list_prepend(role || ':' || text, f[{t + 1}].r)}}" for i, t in _STATES[s])
+    return (
+        f"list_min(list_filter([{{'c': 4 + f[{s + 1}].c, 'a': 'D' || f[{s + 1}].a, 'r': f[{s + 1}].r}}, case when must then null {keeps} end,"
+        f" case when not must then {{'c': 3 + extra + f[{to + 1}].c, 'a': 'R' || f[{to + 1}].a, 'r': list_prepend('{role}:' || text, f[{to + 1}].r)}} end], lambda x: x is not null))"
+    )
+
+
+def _with_inserts(s: int) -> str:
+    (one, first), (two, second) = _GOES[s], _GOES[_GOES[s][0]]
+    return (
+        f"list_min([g[{s + 1}], {{'c': 3 + g[{one + 1}].c, 'a': 'I' || g[{one + 1}].a, 'r': list_prepend('{first}:', g[{one + 1}].r)}},"
+        f" {{'c': 6 + g[{two + 1}].c, 'a': 'II' || g[{two + 1}].a, 'r': list_prepend('{first}:', list_prepend('{second}:', g[{two + 1}].r))}}])"
+    )
+
+
+@query("op11_conversation_repair", f"""
+with recursive poly as (select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) tab),
+keyed as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') key from conversations),
+coded as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::int, 1))::bigint)), lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::int])), 4294967295::bigint) % 20 f
+  from keyed, poly),
+hurt as (select conv_id c, turn t, case when f = 4 then 'user' else role end role, case when f = 1 then '' when f = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when f = 3 then 2 else 1 end)) from coded where f != 0),
+placed as (select c, t, role, text, row_number() over (partition by c order by t nulls first, role, md5(text)) p, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) body from hurt),
+marked as (select *, body = '' blank, body != '' and p > min(p) over (partition by c, role, text) again, lag(substr(role, 1, 1)) over (partition by c order by p) before, count(*) over (partition by c) n from placed),
+lines as (select *, not blank and not again and right(body, 1) not in ('.', '!', '?') cut from marked),
+facts as (select c, coalesce(max(t) - min(t) + 1 - count(distinct t), 0)::bigint gaps, count(*) filter (blank) blank, count(*) filter (again) duplicate, count(*) filter (cut) truncated,
+  count(*) filter (before is not null and before || substr(role, 1, 1) not in ('su', 'ua', 'au')) illegal from lines group by c),
+chain as (select c, n - p + 1 i, role, text, substr(role, 1, 1) ini, blank or again must, case when cut then 3 else 0 end extra, n from lines),
+solved as (
+  select c, 0::bigint i, [{{'c': 0, 'a': '', 'r': []::varchar[]}}, {{'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}}, {{'c': 3, 'a': 'I', 'r': ['assistant:']}}, {{'c': 0, 'a': '', 'r': []::varchar[]}}] f, max(n) n from chain group by c
+  union all
+  select c, i, [{', '.join(_with_inserts(s) for s in range(4))}] f, n from (
+    select s.c, x.i, s.n, [{', '.join(_own_edit(s) for s in range(4))}] g from solved s join chain x on s.c is not distinct from x.c and x.i = s.i + 1)),
+best as (select c, f[1].c::bigint as cost, f[1].a as audit, sha256(array_to_string(f[1].r, chr(10))) h from solved where i = n)
+select o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join facts on o.conv_id is not distinct from facts.c left join best on o.conv_id is not distinct from best.c
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.conversation_repair import damage, repair_with_digest
+
+    rows = table(spark, sf_dir, "conversations")
+    out = repair_with_digest(damage(rows)).withColumnRenamed("conv_id", "_c")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    whole = rows.select("conv_id").distinct().join(out, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    return whole.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+# --- 13 best-fit packing ------------------------------------------------------
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the check sum of a piece's ids travels with its length."""
+    from tessella.llm.packing import place, token_pieces
+
+    pieces = token_pieces(table(spark, sf_dir, "documents"))
+    return place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+# --- 12 collocations ----------------------------------------------------------
+
+_PIECES12 = "regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+_CUT12 = "(2000000::hugeint * f // (l{0} + r{0}))::bigint"
+
+
+def _scores12(n: int) -> str:
+    cuts = ", ".join(f"{{'score': {_CUT12.format(k)}, 'k': {k}, 'l': l{k}, 'r': r{k}}}" for k in range(1, n))
+    parts = ", ".join(f"l{k}.f l{k}, r{k}.f r{k}" for k in range(1, n))
+    joins = " ".join(
+        f"join grams l{k} on l{k}.lang = g.lang and l{k}.n = {k} and l{k}.p = array_to_string(list_slice(g.w, 1, {k}), ' ')"
+        f" join grams r{k} on r{k}.lang = g.lang and r{k}.n = {n - k} and r{k}.p = array_to_string(list_slice(g.w, {k + 1}, {n}), ' ')"
+        for k in range(1, n)
+    )
+    return f"select lang, n, p, w, f, list_min([{cuts}]) b from (select g.lang, g.n, g.p, g.w, g.f, {parts} from grams g {joins} where g.n = {n} and g.f >= 30)"
+
+
+@query("op12_collocations", f"""
+with pieces as (select coalesce(lang, 'und') lang, regexp_extract_all(unnest({_PIECES12}), '[^\x20\x09]+') w from documents),
+grams as materialized (select lang, n, p, any_value(w) w, count(*) f from (
+    select lang, n, list_slice(w, i, i + n - 1) w, array_to_string(list_slice(w, i, i + n - 1), ' ') p
+    from (select lang, w, n, unnest(range(1, len(w) - n + 2)) i from pieces, (select unnest([1, 2, 3, 4]) n) where len(w) >= n)) group by lang, n, p),
+cand as ({_scores12(2)} union all {_scores12(3)} union all {_scores12(4)}),
+inner_phrases as (select lang, n, array_to_string(list_slice(w, i, i + m - 1), ' ') q, m, f from (select lang, n, w, f, m, unnest(range(1, n - m + 2)) i from cand, (select unnest([2, 3]) m) where m < n)),
+around as (select lang, m, q, max(f) f from inner_phrases group by all),
+kept as (select c.* from cand c left join around a on a.lang = c.lang and a.m = c.n and a.q = c.p where a.f is null or 100::hugeint * a.f < 80 * c.f),
+ranked as (select *, row_number() over (partition by lang order by b.score desc, f desc, p) k from kept),
+totals as (select lang, sum(f)::bigint n from grams where n = 1 group by lang)
+select r.lang, k as rank, p as phrase, f as a, b.l as l, b.r as r, t.n as n, b.score as score from ranked r join totals t on t.lang = r.lang where k <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
