@@ -77,3 +77,36 @@ class Graph:
             keep.withColumnRenamed("node_id", "v"), "v", "left_semi"
         )
         return Graph(self.vertices.join(keep, "node_id", "left_semi"), e.select(*self.edges.columns))
+
+
+def compose(graphs: list[Graph]) -> Graph:
+    """All nodes and edges of ``graphs``; an attribute takes the value of the last graph that has one.
+
+    Attributes may differ between graphs; a null is no value. All tables are read
+    side by side and merged in one shuffle for nodes and one for edges.
+    """
+
+    def merged(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+        kinds: dict[str, str] = {}
+        for t in tables:
+            kinds.update({f.name: f.dataType.simpleString() for f in t.schema if f.name not in keys})
+        # columns are told apart by place, so no attribute can clash with the rank
+        sides = [
+            t.select(*keys, F.lit(k).alias("_rank"), *[(F.col(c) if c in t.columns else F.lit(None)).cast(kind).alias(f"_a{i}") for i, (c, kind) in enumerate(kinds.items())])
+            for k, t in enumerate(tables)
+        ]
+        every = sides[0]
+        for t in sides[1:]:
+            every = every.unionByName(t)
+        last = [F.max_by(F.col(f"_a{i}"), F.when(F.col(f"_a{i}").isNotNull(), F.col("_rank"))).alias(c) for i, c in enumerate(kinds)]
+        return every.groupBy(*keys).agg(*last) if last else every.select(*keys).distinct()
+
+    if not graphs:
+        raise ValueError("no graph to compose")
+    return Graph(merged([g.vertices for g in graphs], ["node_id"]), merged([g.edges for g in graphs], ["u", "v"]))
+
+
+def merge_results(origin: Graph, results: list[Graph]) -> Graph:
+    """``origin`` with the attributes of those ``results`` that have as many nodes, in order."""
+    n = origin.vertices.count()
+    return compose([origin, *[g for g in results if g.vertices.count() == n]])

@@ -235,8 +235,16 @@ def clusters_to_draw(results: DataFrame, clusters: DataFrame, order: str = "obse
     return chains.where(F.col("n_chains") >= min_proteins)
 
 
-def contract_by_protein(clusters: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cluster_id, p, q): protein-chain pairs linked inside each cluster, without loops."""
-    m = clusters.select("cluster_id", "node_id", F.split_part("node_id", F.lit("_"), F.lit(1)).alias("p"))
+def contract_by_protein(clusters: DataFrame, edges: DataFrame, proteins: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, p, q): protein-chain pairs linked inside each cluster, without loops.
+
+    Edges meet clusters on their nodes; only then are nodes mapped to their
+    chains, by ``proteins(node_id, p)`` or the first part of the node's id.
+    """
+    m = clusters.select("cluster_id", "node_id")
+    if proteins is None:
+        m = m.withColumn("p", F.split_part("node_id", F.lit("_"), F.lit(1)))
+    else:
+        m = m.join(proteins.select("node_id", "p"), "node_id").select("cluster_id", "node_id", "p")
     inner = edges.join(m.toDF("cu", "u", "pu"), "u").join(m.toDF("cv", "v", "pv"), "v").where("cu = cv and pu <> pv")
     return inner.select(F.col("cu").alias("cluster_id"), F.least("pu", "pv").alias("p"), F.greatest("pu", "pv").alias("q")).distinct()

@@ -17,10 +17,17 @@ from tessella.graph import Graph
 
 
 def neighbour_mean(graph: Graph, features: DataFrame) -> DataFrame:
-    """(node_id, x, nb): own features and the mean over neighbours (zeros without any)."""
+    """(node_id, x, nb): own features and the mean over neighbours (zeros without any).
+
+    Sums are divided once, so features that are whole numbers have exact means in any order of rows.
+    """
     x = features.select("node_id", "x")
+    one = x.select(F.size("x").alias("n")).first()
+    width = one["n"] if one else 0
     near = graph.sym().select("a", "b").join(x.toDF("b", "xb"), "b")
-    mean = near.groupBy(F.col("a").alias("node_id")).agg(vector_to_array(Summarizer.mean(array_to_vector("xb"))).alias("nb"))
+    sums = near.groupBy(F.col("a").alias("node_id")).agg(F.count("*").alias("n"), *[F.sum(F.col("xb")[k]).alias(f"s{k}") for k in range(width)])
+    cells = F.array(*[F.col(f"s{k}") / F.col("n") for k in range(width)]) if width else F.array().cast("array<double>")
+    mean = sums.select("node_id", cells.alias("nb"))
     return x.join(mean, "node_id", "left").select("node_id", "x", F.coalesce("nb", F.transform("x", lambda v: F.lit(0.0))).alias("nb"))
 
 

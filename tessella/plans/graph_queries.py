@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
+from tessella.operators import attention as AT
 from tessella.operators import betweenness as BC
 from tessella.operators import blocks as BL
 from tessella.operators import components as C
@@ -329,9 +330,18 @@ def _(s, d):
     return one(s, round(SP.spectral_radius(contacts(s, d)), 5), "spectral_radius")
 
 
-@query("measure_algebraic_connectivity", f"{rec(base(G_A), CC)} select case when count(distinct c) > 1 then 0.0 end as alg_connectivity from cc")
+# Nations that trade: a line is a trade between the nations of its supplier and its customer.
+TRADE = """select u, v from (select least(s_nationkey, c_nationkey) u, greatest(s_nationkey, c_nationkey) v, count(*) n from {lineitem}
+ join {orders} on o_orderkey = l_orderkey join {customer} on c_custkey = o_custkey join {supplier} on s_suppkey = l_suppkey where s_nationkey <> c_nationkey group by 1, 2) t where n % 3 = 0"""
+
+
+@query("measure_algebraic_connectivity", f"""{rec(base(TRADE))},
+ p(i,n,x,l) as (select 0, n, pow(n + 1, 0.7) - avg(pow(n + 1, 0.7)) over (), 0.0::double from v union all
+  select i+1, n, y/sqrt(sum(y*y) over ()), sqrt(sum(y*y) over ())/sqrt(sum(x*x) over ()) from (select i, n, x, z - avg(z) over () y from (
+   select p.i, p.n, any_value(p.x) x, any_value(p.x)*(60-any_value(dg.k))+sum(q.x) z from p join s on s.b = p.n join p q on q.n = s.a join dg on dg.n = p.n where p.i < 4000 group by 1, 2) z1) z2)
+ select round(60-max(l),5) as alg_connectivity from p where i = 4000""")
 def _(s, d):
-    return one(s, SP.algebraic_connectivity(ga(s, d)), "alg_connectivity")
+    return one(s, round(SP.algebraic_connectivity(graph(s, d, TRADE)), 5), "alg_connectivity")
 
 
 @query("measure_current_flow")
@@ -581,10 +591,8 @@ def _(s, d):
 @query("contract_by_protein", f"""{rec(base(G_B), _mcl_cc(0.21), _PN)} select distinct x.c as cluster_id, least(split_part(a.node_id,'_',1),split_part(b.node_id,'_',1)) as p, greatest(split_part(a.node_id,'_',1),split_part(b.node_id,'_',1)) as q
  from e join cl x on x.n = e.u join cl y on y.n = e.v and y.c = x.c join pn a on a.n = e.u join pn b on b.n = e.v where split_part(a.node_id,'_',1) <> split_part(b.node_id,'_',1)""")
 def _(s, d):
-    g = gb(s, d)
-    n = part_nodes(s, d).select("node_id", "residue_id")
-    e = g.edges.join(n.toDF("u", "ru"), "u").join(n.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    return G.contract_by_protein(residue_clusters(s, d), e)
+    p = part_nodes(s, d).select("node_id", F.split_part("residue_id", F.lit("_"), F.lit(1)).alias("p"))
+    return G.contract_by_protein(mcl_clusters(s, d), gb(s, d).edges, p)
 
 
 # --- datasets and layers ----------------------------------------------------------------------
@@ -643,10 +651,13 @@ def line_features(s, d) -> DataFrame:
     return derive(s, d, f"select n as node_id, array(cast(p_size as double), p_retailprice/1000) as x from ({LINE_NODES}) ln join {{part}} on p_partkey = pk")
 
 
-@query("neighbour_mean", f"{rec(base(G_B), _X)} select s.a as node_id, round(avg(x0),6) as m0, round(avg(x1),6) as m1 from s join fx on fx.n = s.b group by 1")
+@query("neighbour_mean", f"""{rec(base(G_B))}, fx as materialized (select n, p_size::double x0, round(p_retailprice*100)::double x1 from ({LINE_NODES}) ln join {{part}} on p_partkey = pk)
+ select s.a as node_id, round(avg(x0),6) as m0, round(avg(x1),6) as m1 from s join fx on fx.n = s.b group by 1""")
 def _(s, d):
+    """Sizes and prices in cents are whole, so their sums are exact."""
     g = gb(s, d)
-    m = NN.neighbour_mean(g, line_features(s, d).join(g.vertices, "node_id", "left_semi"))
+    x = derive(s, d, f"select n as node_id, array(cast(p_size as double), cast(round(p_retailprice*100) as double)) as x from ({LINE_NODES}) ln join {{part}} on p_partkey = pk")
+    m = NN.neighbour_mean(g, x.join(g.vertices, "node_id", "left_semi"))
     return m.select("node_id", F.round(F.col("nb")[0], 6).alias("m0"), F.round(F.col("nb")[1], 6).alias("m1"))
 
 
@@ -668,6 +679,69 @@ def _(s, d):
     return NN.skip_concat(g, line_features(s, d).join(g.vertices, "node_id", "left_semi"), [(_W1, _W2, _B), (wide, wide, _B)])
 
 
+# Two heads of two outputs each.
+_GAT_W = [[[0.3137719, -0.1229317], [0.2217731, 0.4330193]], [[-0.2119751, 0.1739333], [0.3517193, 0.1147319]]]
+_GAT_S, _GAT_T, _GAT_B = [[0.4137, -0.3319], [0.2771, 0.5233]], [[-0.2417, 0.3631], [0.1933, -0.2879]], [0.0131713, -0.0217319, 0.0347193, -0.0451731]
+
+
+def _gat_sql() -> str:
+    h = ", ".join(f"(x0/50*{_GAT_W[k][0][o]}+x1*{_GAT_W[k][1][o]}) h{k}{o}" for k in (0, 1) for o in (0, 1))
+    st = ", ".join(f"h{k}0*{_GAT_S[k][0]}+h{k}1*{_GAT_S[k][1]} s{k}, h{k}0*{_GAT_T[k][0]}+h{k}1*{_GAT_T[k][1]} t{k}" for k in (0, 1))
+    z = ", ".join(f"case when y.s{k}+x.t{k} > 0 then y.s{k}+x.t{k} else 0.2*(y.s{k}+x.t{k}) end z{k}" for k in (0, 1))
+    out = ", ".join(f"round(sum(exp(z{k})*h{k}{o})/sum(exp(z{k}))+{_GAT_B[2 * k + o]},5) as y{2 * k + o}" for k in (0, 1) for o in (0, 1))
+    return f"""h as materialized (select n, {h} from fx where n in (select n from v)), st as materialized (select *, {st} from h), loops as (select a, b from s union all select n, n from v),
+ z as (select x.n, y.h00, y.h01, y.h10, y.h11, {z} from loops join st x on x.n = a join st y on y.n = b) select n as node_id, {out} from z group by n"""
+
+
+def _four(df: DataFrame) -> DataFrame:
+    return df.select("node_id", *[(F.round(F.col("x")[k], 5) + 0.0).alias(f"y{k}") for k in range(4)])
+
+
+def scaled_features(s, d, nodes: str = LINE_NODES) -> DataFrame:
+    return derive(s, d, f"select n as node_id, array(p_size/50.0D, p_retailprice/1000) as x from ({nodes}) ln join {{part}} on p_partkey = pk")
+
+
+@query("gat_layer", f"{rec(base(G_B), _X)}, {_gat_sql()}")
+def _(s, d):
+    g = gb(s, d)
+    return _four(AT.gat_layer(g, scaled_features(s, d).join(g.vertices, "node_id", "left_semi"), _GAT_W, _GAT_S, _GAT_T, _GAT_B))
+
+
+@query("gat_layer_hubs", f"{rec(base(G_C), _X.replace(LINE_NODES, FOLDED_NODES))}, {_gat_sql()}")
+def _(s, d):
+    """The same over the graph with large components."""
+    g = gc(s, d)
+    return _four(AT.gat_layer(g, scaled_features(s, d, FOLDED_NODES).join(g.vertices, "node_id", "left_semi"), _GAT_W, _GAT_S, _GAT_T, _GAT_B))
+
+
+_EYE, _NONE = [[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0]
+
+
+@query("cross_attention", f"""{rec(base(G_B), CC, _X)}, gv as materialized (select c, c % 41 bt, count(*) m, avg(x0/50) g0, avg(x1) g1 from cc join fx on fx.n = cc.n group by 1),
+ kv as materialized (select bt, m, g0*0.8+g1*0.1+0.05 k0, -g0*0.3+g1*0.6 k1, g0*0.5-g1*0.2 v0, g0*0.4+g1*0.9-0.01 v1 from gv),
+ q as (select cc.n, bt, x0/50*1.2+x1*0.3 q0, -x0/50*0.4+x1*0.7+0.02 q1 from cc join fx on fx.n = cc.n join gv on gv.c = cc.c),
+ o as (select n, sum(m*exp((q0*k0+q1*k1)/sqrt(2))*v0)/sum(m*exp((q0*k0+q1*k1)/sqrt(2))) o0, sum(m*exp((q0*k0+q1*k1)/sqrt(2))*v1)/sum(m*exp((q0*k0+q1*k1)/sqrt(2))) o1 from q join kv on kv.bt = q.bt group by n),
+ w as (select n, (o0-o1)/2 dd from o) select n as node_id, round(dd/sqrt(dd*dd+1e-5),5) as y0, round(-dd/sqrt(dd*dd+1e-5),5) as y1 from w""")
+def _(s, d):
+    """Nodes attend to the mean vectors of the components of their batch."""
+    g = gb(s, d)
+    x = scaled_features(s, d).join(C.connected_components(g), "node_id").select("node_id", F.col("component_id").alias("graph_id"), "x")
+    vec = NN.mean_readout(x).withColumn("batch", F.pmod("graph_id", F.lit(41)))
+    w = AT.AttentionWeights(
+        query=([[1.2, -0.4], [0.3, 0.7]], [0.0, 0.02]), key=([[0.8, -0.3], [0.1, 0.6]], [0.05, 0.0]), value=([[0.5, 0.4], [-0.2, 0.9]], [0.0, -0.01]),
+        query_in=(_EYE, _NONE), key_in=(_EYE, _NONE), value_in=(_EYE, _NONE), out=(_EYE, _NONE), heads=1)
+    y = AT.cross_attention(x, vec, w)
+    return y.select("node_id", *[(F.round(F.col("x")[k], 5) + 0.0).alias(f"y{k}") for k in (0, 1)])
+
+
+@query("attribute_decoder", """with x as (select p_partkey k, p_size/50.0 a, p_retailprice/1000 b from {part}), h as (select k, greatest(a*0.7137719-b*0.4119317+0.1017319, 0) h0, greatest(a*0.2217731+b*0.5330193-0.3117193, 0) h1 from x)
+ select k as node_id, round(h0*0.9137719-h1*0.6119317+0.0117319,5) as y0, round(h0*0.3217731+h1*1.1330193,5) as y1 from h""")
+def _(s, d):
+    x = derive(s, d, "select p_partkey as node_id, array(p_size/50.0D, p_retailprice/1000) as x from {part}")
+    y = AT.decode(x, ([[0.7137719, 0.2217731], [-0.4119317, 0.5330193]], [0.1017319, -0.3117193]), ([[0.9137719, 0.3217731], [-0.6119317, 1.1330193]], [0.0117319, 0.0]))
+    return y.select("node_id", *[(F.round(F.col("x")[k], 5) + 0.0).alias(f"y{k}") for k in (0, 1)])
+
+
 @query("mean_readout", f"{rec(base(G_B), CC, _X)} select c as graph_id, round(avg(x0),9) as v0, round(avg(x1),9) as v1 from cc join fx on fx.n = cc.n group by 1")
 def _(s, d):
     x = C.connected_components(gb(s, d)).join(line_features(s, d), "node_id").withColumnRenamed("component_id", "graph_id")

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import codons, residues
-from tessella.graph import Graph
+from tessella.graph import Graph, compose
 from tessella.operators import dataset as DS
 from tessella.operators import edges as E
 from tessella.operators import encode as EN
 from tessella.operators import enrichment as G
 from tessella.operators import labels as L
 from tessella.operators import nodes as N
-from tessella.plans.fixtures import CONTACTS, G_B, NODES, RAW_EDGES, derive
+from tessella.plans.fixtures import CONTACTS, G_B, LINE_NODES, NODES, RAW_EDGES, derive
 from tessella.plans.registry import query
 from tessella.runtime import scratch_path
 from tessella.sources import graphs as SG
@@ -335,12 +335,37 @@ def _(s, d):
     return N.align_counts(a, b, "k")
 
 
-@query("join_induced_subgraph", f"select u, v from ({G_B}) e where u in (select p_partkey from {{part}} where p_size > 20) and v in (select p_partkey from {{part}} where p_size > 20)")
+@query("join_induced_subgraph", f"""with k as (select n from ({LINE_NODES}) ln join {{part}} on p_partkey = pk where p_size > 20)
+ select u, v from ({G_B}) e where u in (select n from k) and v in (select n from k)""")
 def _(s, d):
-    keep = derive(s, d, "select p_partkey as node_id from {part} where p_size > 20")
+    keep = derive(s, d, f"select n as node_id from ({LINE_NODES}) ln join {{part}} on p_partkey = pk where p_size > 20")
     return Graph.from_edges(derive(s, d, G_B)).induced(keep).edges
 
 
+@query("graph_composition", f"""with c as materialized ({CONTACTS}), n as materialized (select u n from c union select v from c),
+ x as (select n, length(n) a, cast(null as bigint) b from n), y as (select n, case when length(n) % 2 = 0 then 2*length(n) end a, length(n) b from n where n < 'p00100'),
+ z as (select n, case when length(n) % 3 = 0 then -1 end a, cast(null as bigint) b from n where n > 'p00050')
+ select x.n as node_id, coalesce(z.a, y.a, x.a) as a, y.b as b from x left join y on y.n = x.n left join z on z.n = x.n""")
+def _(s, d):
+    """Later graphs win where they have a value; the third lacks ``b``."""
+    g = Graph.from_edges(derive(s, d, CONTACTS), attrs=("weight",)).pinned()
+    size = F.length("node_id")
+    x = g.vertices.select("node_id", size.alias("a"))
+    y = g.vertices.where("node_id < 'p00100'").select("node_id", F.when(size % 2 == 0, 2 * size).alias("a"), size.alias("b"))
+    z = g.vertices.where("node_id > 'p00050'").select("node_id", F.when(size % 3 == 0, -1).alias("a"))
+    return compose([Graph(x, g.edges), Graph(y, g.edges.select("u", "v")), Graph(z, g.edges.limit(0))]).vertices
+
+
+@query("graph_composition_edges", f"""with c as materialized ({CONTACTS}), y as (select u, v, -weight w from c where weight < 0), z as (select u, v, 1.5 w, 1 late from c where weight > 3)
+ select c.u, c.v, round(coalesce(z.w, y.w, c.weight),6) as w, z.late as late from c left join y on y.u = c.u and y.v = c.v left join z on z.u = c.u and z.v = c.v""")
+def _(s, d):
+    g = Graph.from_edges(derive(s, d, CONTACTS), attrs=("weight",)).pinned()
+    y = g.edges.where("weight < 0").select("u", "v", (-F.col("weight")).alias("w"))
+    z = g.edges.where("weight > 3").select("u", "v", F.lit(1.5).alias("w"), F.lit(1).alias("late"))
+    parts = [Graph(g.vertices, e) for e in (g.edges.withColumnRenamed("weight", "w"), y, z)]
+    return compose(parts).edges.withColumn("w", F.round("w", 6) + 0.0)
+
+
 @query("node_codon_contexts", f"""with p as (select node_id, upper(regexp_replace(split_part(node_id,'_',1), '-\\d+$', '')) as uniprot_id, cast(split_part(node_id,'_',2) as int) as pos,
   substring('ARNDCQEGHILKMFPSTWYV', (strpos('alaargasnaspcysglngluglyhisileleulysmetpheproserthrtrptyrval', split_part(node_id,'_',3)) + 2) // 3, 1) as aa from ({SITES}) s),
  h as (select distinct p.node_id, p.pos, pr.enst from p join ({XREF}) x on x.uniprot_id = p.uniprot_id join ({PROTEINS}) pr on pr.ensp = x.ensp where p.pos > 0 and p.pos <= length(pseq) and substring(pseq, p.pos, 1) = p.aa),
