@@ -20,6 +20,7 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import chain
@@ -35,8 +36,14 @@ from tessella.llm.words import text_chunks
 #: Words that a worker remembers; longer ones are encoded each time.
 CACHED_WORDS, CACHED_BYTES = 1_000_000, 64
 
+#: Words sent to the tokenizer as one text.
+TOGETHER = 500
+
 _BREAK = np.isin(np.arange(256), [32, 9, 10, 13])
-_LOADED: dict[str, tuple[object, dict[bytes, list[int]]]] = {}
+#: A word and the marks behind it: the tokenizer parts letters and digits from marks.
+_TAILED = re.compile(rb"([^<]*[0-9A-Za-z])([.,;:!?]+)", re.DOTALL)
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+_LOADED: dict[str, Words] = {}
 
 
 def word_tokenizer() -> str:
@@ -46,27 +53,60 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
-    """The tokenizer and the worker's memory of words, loaded once a worker."""
-    if path not in _LOADED:
+class Words:
+    """A tokenizer that parts words at white space, with a worker's memory of words as packed ids."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        vocabulary, mark = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word; new ones are parted into stem and marks first, as many words share a stem."""
+        out = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        parts = []
+        for k in new:
+            stem, tail = m.groups() if (m := _TAILED.fullmatch(words[k])) else (words[k], b"")
+            parts.append((stem.lower() if stem.isascii() and b"<" not in stem else stem, tail))
+        fresh = self.encode_new([x for x in dict.fromkeys(chain.from_iterable(parts)) if x and x not in self.known])
+        if len(self.known) > CACHED_WORDS:
+            fresh.update((x, self.known[x]) for x in chain.from_iterable(parts) if x in self.known)
+            self.known.clear()
+        self.known.update((x, ids) for x, ids in fresh.items() if len(x) <= CACHED_BYTES)
+        for k, (stem, tail) in zip(new, parts):
+            out[k] = b"".join(fresh[x] if x in fresh else self.known[x] for x in (stem, tail) if x)
+            if len(words[k]) <= CACHED_BYTES:
+                self.known[words[k]] = out[k]
+        return out
+
+    def encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters alone are one unit each: they are encoded side by side and parted behind their ends."""
+        texts = [w.decode() for w in words]
+        plain = [_LETTERS.fullmatch(t) is not None for t in texts] if self.ends.any() else [False] * len(texts)
+        side = [t for t, p in zip(texts, plain) if p]
+        apart = [t for t, p in zip(texts, plain) if not p]
+        encode = lambda x: (e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False))
+        done = {t: np.array(ids, np.uint32).tobytes() for t, ids in zip(apart, encode(apart))}
+        for k, ids in enumerate(encode([" ".join(side[i : i + TOGETHER]) for i in range(0, len(side), TOGETHER)])):
+            ids = np.array(ids, np.uint32)
+            packed, edges = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            done.update((t, packed[a:b]) for t, a, b in zip(side[k * TOGETHER :], edges[:-1], edges[1:], strict=False))
+        return {w: done[t] for w, t in zip(words, texts)}
+
+
+def _encoder(path: str) -> Words:
+    """The tokenizer and the memory of words, loaded once a worker."""
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
     return _LOADED[path]
 
 
-def encode_words(words: list[bytes], path: str) -> list[list[int]]:
-    tokenizer, known = _encoder(path)
-    new = [w for w in words if w not in known]
-    fresh = dict(zip(new, (e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
-    out = [known[w] if w in known else fresh[w] for w in words]
-    if len(known) + len(fresh) > CACHED_WORDS:
-        known.clear()
-    known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_BYTES)
-    return out
-
-
 def encode_texts(data: np.ndarray, offs: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk, each closed by ``end_id``, and the place of each text's first id (one entry more than texts).
 
@@ -85,9 +125,9 @@ def encode_texts(data: np.ndarray, offs: np.ndarray, path: str, end_id: int) ->
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data[word])])
         coded = column.dictionary_encode()
         of = np.asarray(coded.indices)
-        lists = encode_words(coded.dictionary.to_pylist(), path)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        packed = _encoder(path).encode(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        flat = np.frombuffer(b"".join(packed), np.uint32)
         took = sizes[of]
         ends[1:] = np.cumsum(took)
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], took) + np.arange(ends[-1])]
