@@ -1,219 +1,193 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-Terms are lower-cased words and the four to six letter openings of longer words
-(so unseen endings still count). A bounded, hash-chosen sample of labelled rows
-is the example set; every term of its texts is a dimension of the vector space,
-weighted by ``(1 + ln tf) * idf``. Terms are known by 64-bit hashes.
-
-Terms that many examples hold are kept as rows of a dense matrix, all others as
-postings. A query is scored against all examples in single precision; those
-within the rounding error of the k-th similarity are scored again in double
-precision over whole vectors: the neighbours are exact. Their labels vote with
-their similarities; a logistic curve, fitted on the examples with themselves
-left out, turns the vote into a calibrated score. Texts without any term of the
-space get the share of toxic ones among such examples.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over block-max lists.
+
+A bounded, hash-chosen sample of labelled rows is the example set. Words are
+lower-cased runs of letters and non-ASCII characters; terms are words and the
+openings of longer ones. The dimensions of the vector space are the ``max_terms``
+terms of the examples that go most with one label (by the z of the two-by-two table), weighted by ``(1 + ln tf) * idf``.
+
+The index has a list for every term: the examples that hold it with their
+weights, cut into blocks of neighbouring examples, and the largest weight of
+every block. Examples are ordered by their heaviest term, so that like ones
+share blocks. A query sums the largest weights to a bound for every block,
+visits blocks from the best bound on, and stops when no bound reaches its k-th
+similarity: the neighbours are those of a full search. They vote with the inverse
+square of their distance, so an equal text outvotes distant ones; a logistic
+curve, fitted on the examples with themselves left out, makes a score of the
+vote. Texts without any term get the share of toxic ones among such examples.
+
+Words, their counts and the left-out votes are Spark jobs over the examples; the
+driver receives ``max_terms`` words and at most ``max_examples`` rows of numbers.
 
 Edge cases: null and empty texts have no terms; labels that are null, of unknown
 documents or of null ids teach nothing; several labels of a document count as
 toxic if one does; without any example every score is 0, with examples of one
-label only it is the smoothed share; repeated rows are scored each; an empty
-table gives no rows; other columns are not read.
+label only it is the smoothed share; equal similarities rank by example id;
+repeated rows are scored each; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import written
-
-#: Bound of what is fitted: labelled rows looked at.
-EXAMPLES = 12_000
-#: Rows of the dense matrix: terms of the largest document frequency, held by at least one in DENSE_SHARE examples.
-DENSE_TERMS = 1_024
-DENSE_SHARE = 64
-#: More than the error of a cosine summed in single precision.
-ROUNDING = 1e-5
-CHUNK = 64
+from tessella.llm.words import text_chunks
+
+#: Bounds of what is fitted: labelled rows looked at, and dimensions of the space.
+EXAMPLES, TERMS = 12_000, 256
+BLOCK = 32
+#: Blocks visited between two looks at the k-th similarity.
+STRIDE = 8
+#: Lengths of the openings that stand beside a longer word, so that unseen endings count.
+OPENINGS = (4, 5, 6)
 NEIGHBOURS = 15
-
-_WORD = re.compile(r"[^\W\d_]+")
-_OPENINGS = (4, 5, 6)
-
-
-def word_terms(word: str) -> list[str]:
-    """A lower-cased word and its openings; openings carry a mark that no word has."""
-    return [word, *[f"{word[:n]}*" for n in _OPENINGS if len(word) > n]]
-
-
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for term in word_terms(word):
-            out[term] += n
+#: Distance that counts as none, and the weight of the even vote that every text starts with.
+NEAR, EVEN = 0.02, 1.0
+REMEMBERED = 200_000
+
+_APART = np.ones(256, bool)
+_APART[97:123] = _APART[128:] = False
+
+
+# --- words --------------------------------------------------------------------
+
+
+def coded_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(from row, to row, row of every word, code of every word, words by code) of slices of a text column."""
+    lower = pc.utf8_lower(column.cast(pa.large_string()))
+    for lo, hi, data, offs in text_chunks(lower):
+        word = ~_APART[data]
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
+        inner = offs[(offs > 0) & (offs < len(data))]
+        begin[inner] = word[inner]
+        starts = np.flatnonzero(begin)
+        edges = np.append(np.cumsum(word)[starts] - 1, word.sum()).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data[word])]).dictionary_encode()
+        yield lo, hi, np.searchsorted(offs, starts, side="right") - 1, np.asarray(coded.indices), coded.dictionary
+
+
+def variants(words: pa.Array) -> list[pa.Array]:
+    """The words themselves, and for each length of ``OPENINGS`` those of longer words (else null), marked by a star."""
+    plain = words.cast(pa.large_string())
+    size = pc.utf8_length(plain)
+    out = [plain]
+    for n in OPENINGS:
+        opening = pc.binary_join_element_wise(pc.utf8_slice_codeunits(plain, 0, n), pa.scalar("*", plain.type), pa.scalar("", plain.type))
+        out.append(pc.if_else(pc.greater(size, n), opening, pa.scalar(None, plain.type)))
     return out
 
 
-def term_hashes(terms: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in terms), np.uint64)
+def term_counts(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each text's entries begin, terms in order, how often) over ``terms`` alone."""
+    known = terms.cast(pa.large_binary()).cast(pa.large_string())
+    first, found, often = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi, row, code, words in coded_words(column):
+        keys = []
+        for kind in variants(words):
+            at = pc.index_in(kind, value_set=known, skip_nulls=True).fill_null(-1).to_numpy()[code]
+            keys.append(row[at >= 0] * (len(terms) + 1) + at[at >= 0])
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        found.append(key % (len(terms) + 1))
+        often.append(n)
+        first.append(first[-1][-1] + np.searchsorted(key // (len(terms) + 1), np.arange(1, hi - lo + 1)))
+    return np.concatenate([first[0], *first[1:]]), np.concatenate(found), np.concatenate(often)
 
 
-def _gathered(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, row lengths) of the given rows of a list that begins row ``r`` at ``first[r]``."""
-    n = first[rows + 1] - first[rows]
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[rows] - ends + n, n), n
+# --- index --------------------------------------------------------------------
 
 
 @dataclass
 class Index:
-    """Weights of the examples by example and by term, and the calibration of their votes."""
+    """Block-max lists of the examples and the calibration of their votes."""
 
-    keys: np.ndarray  # sorted hashes of the terms; the place is the term's number
+    terms: list[bytes]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    first: np.ndarray  # where an example's terms begin
-    terms: np.ndarray
-    tf: np.ndarray
-    weights: np.ndarray
-    dense_row: np.ndarray  # row of a term in the dense matrix, or -1
-    dense: np.ndarray  # frequent terms x examples
-    at: np.ndarray  # where a rare term's postings begin
-    holders: np.ndarray
-    held: np.ndarray
+    top: np.ndarray  # terms x blocks: largest weight
+    at: np.ndarray  # terms x (blocks + 1): where a block's entries begin
+    holder: np.ndarray  # entries by term: example
+    weight: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
     blank: float = 0.0
 
-    def __getstate__(self) -> tuple:
-        """What the weights are made of, packed: every executor gets and keeps a copy."""
-        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.terms, prepend=np.int32(0)), self.tf)]
-        return packed, self.keys, self.ids, self.labels, self.first, self.slope, self.shift, self.blank
-
-    def __setstate__(self, state: tuple) -> None:
-        (terms, tf), keys, ids, labels, first, self.slope, self.shift, self.blank = state
-        terms = np.cumsum(np.frombuffer(zlib.decompress(terms), np.int32), dtype=np.int32)
-        self.__dict__.update(_weighted(ids, labels, first, terms, np.frombuffer(zlib.decompress(tf), np.int32), keys).__dict__ | self.__dict__)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of terms by hash, -1 for those no example holds."""
-        if len(self.keys) == 0:
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        return self.weighted(terms, np.array([counts[t] for t in terms.tolist()], np.int64))
-
-    def weighted(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weighted(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[terms]
-        norm = np.sqrt((w * w).sum())
-        return terms, w / norm if norm > 0 else w
-
-    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(examples, similarities) of the k most similar to each vector, best first; its ``skip`` is left out."""
-        n, whole = len(self.ids), np.zeros(len(self.idf))
-        for begin in range(0, len(vectors), CHUNK):
-            part = vectors[begin : begin + CHUNK]
-            q = np.zeros((len(part), len(self.dense)), np.float32)
-            for j, (terms, w) in enumerate(part):
-                row = self.dense_row[terms]
-                q[j, row[row >= 0]] = w[row >= 0]
-            rough = q @ self.dense
-            for j, (terms, w) in enumerate(part):
-                s, rare = rough[j], self.dense_row[terms] < 0
-                places, lengths = _gathered(self.at, terms[rare])
-                if len(places):
-                    s = s + np.bincount(self.holders[places], self.held[places] * np.repeat(w[rare], lengths), n)
-                if skip is not None:
-                    s[skip[begin + j]] = 0
-                edge = max(np.partition(s, n - k)[n - k] - ROUNDING, 0) if n > k else 0
-                near = np.flatnonzero(s > edge)
-                places, lengths = _gathered(self.first, near)
-                if len(places) == 0:
-                    yield near, np.zeros(0)
-                    continue
-                whole[terms] = w
-                exact = np.add.reduceat(whole[self.terms[places]] * self.weights[places], np.cumsum(lengths) - lengths)
-                whole[terms] = 0
-                keep = np.lexsort((near, -exact))[:k]
-                yield near[keep], exact[keep]
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return next(self.nearest_all([(terms, w)], k=k))
-
-    def vote(self, i: np.ndarray, s: np.ndarray) -> float:
-        """Similarity-weighted share of toxic neighbours as log-odds, drawn towards even by one weak vote."""
-        toxic = float((s * self.labels[i]).sum())
-        return float(np.log((toxic + 0.05) / (float(s.sum()) - toxic + 0.05)))
-
-    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """Score, neighbours and similarities of texts given as (terms, how often)."""
-        for i, s in self.nearest_all([self.weighted(*c) for c in counts]):
-            yield (float(1 / (1 + np.exp(-(self.slope * self.vote(i, s) + self.shift)))) if len(i) else self.blank), i, s
-
-
-def build_index(ids, labels, counts: list[dict[int, int]], terms: list[str]) -> Index:
-    """Index of examples given as counts by place in ``terms``."""
-    flat = np.array([t for c in counts for t in c], np.int32)
-    tf = np.array([n for c in counts for n in c.values()], np.int32)
-    return _indexed(np.asarray(ids), np.asarray(labels, float), np.array([len(c) for c in counts], np.int64), flat, tf, np.arange(len(terms), dtype=np.uint64))
-
-
-def _weighted(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, terms: np.ndarray, tf: np.ndarray, keys: np.ndarray) -> Index:
-    """Index of examples, not calibrated; the terms of example ``e`` begin at ``first[e]``."""
-    n = len(ids)
-    df = np.bincount(terms, minlength=len(keys)) if len(keys) else np.zeros(0, np.int64)
-    frequent = np.argsort(-df, kind="stable")[:DENSE_TERMS]
-    frequent = frequent[df[frequent] * DENSE_SHARE >= n]
-    dense_row = np.full(len(keys), -1, np.int32)
-    dense_row[frequent] = np.arange(len(frequent))
-    at = np.concatenate([[0], np.cumsum(np.where(dense_row < 0, df, 0))]).astype(np.int64)
-    index = Index(
-        keys, np.log((1 + n) / (1 + df)) + 1, ids, labels, first, terms, tf, np.zeros(len(terms)), dense_row, np.zeros((len(frequent), n), np.float32),
-        at, np.zeros(at[-1], np.int32), np.zeros(at[-1], np.float32),
-    )
-    end = at[:-1].copy()
-    for e in range(n):  # one example at a time, so that nothing but the index takes room
-        ts, w = index.weighted(terms[first[e] : first[e + 1]], tf[first[e] : first[e + 1]])
-        index.weights[first[e] : first[e + 1]] = w
-        row = dense_row[ts]
-        index.dense[row[row >= 0], e] = w[row >= 0]
-        place = end[ts[row < 0]]
-        index.holders[place], index.held[place] = e, w[row < 0]
-        end[ts[row < 0]] += 1
-    return index
-
-
-def _indexed(ids: np.ndarray, labels: np.ndarray, size: np.ndarray, terms: np.ndarray, tf: np.ndarray, keys: np.ndarray) -> Index:
-    """Index of examples with ``size`` terms each, calibrated with each example left out."""
-    n, first = len(ids), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    index = _weighted(ids, labels, first, terms, tf, keys)
-    vectors = [(terms[a:b], index.weights[a:b]) for a, b in zip(first[:-1], first[1:])]
-    votes, truth, blank = [], [], [0.0, 0.0]
-    for e, (i, s) in enumerate(index.nearest_all(vectors, skip=list(range(n)))):
-        if len(i):
-            votes.append(index.vote(i, s))
-            truth.append(labels[e])
-        else:
-            blank[0] += labels[e]
-            blank[1] += 1
-    prior = (labels.sum() + 0.1) / (n + 1) if n else 0.0
-    index.blank = float((blank[0] + prior) / (blank[1] + 1))
-    index.slope, index.shift = _logistic(np.array(votes), np.array(truth))
-    return index
+        return w / np.sqrt((w * w).sum())
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """(examples, similarities, entries read) of the k most similar ones, best first, then by id; ``skip`` is left out."""
+        bounds = w @ self.top[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: np.searchsorted(-bounds[order], 0.0)]  # blocks that share a term
+        best, near, read, edge = np.zeros(0), np.zeros(0, np.int64), 0, 0.0
+        for a in range(0, len(order), STRIDE):
+            # sums of rounded products may differ in the last digits
+            blocks = order[a : a + STRIDE]
+            if len(best) >= k and bounds[blocks[0]] < edge - 1e-9:
+                break
+            begin, size = self.at[terms][:, blocks], self.at[terms][:, blocks + 1] - self.at[terms][:, blocks]
+            ends = np.cumsum(size)
+            places = np.arange(ends[-1]) + np.repeat(begin.ravel() - ends + size.ravel(), size.ravel())
+            read += len(places)
+            slot = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), size.ravel()) * BLOCK + self.holder[places] % BLOCK
+            s = np.bincount(slot, self.weight[places] * np.repeat(w, size.sum(axis=1)), len(blocks) * BLOCK)
+            hit = np.flatnonzero(s)
+            own = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            keep = own != skip
+            best, near = np.append(best, s[hit[keep]]), np.append(near, own[keep])
+            if len(best) > k:
+                rank = np.lexsort((self.ids[near], -best))[:k]
+                best, near = best[rank], near[rank]
+                edge = best[-1]
+        rank = np.lexsort((self.ids[near], -best))[:k]
+        return near[rank], np.minimum(best[rank], 1.0), read
+
+    def vote(self, near: np.ndarray, s: np.ndarray) -> float:
+        """Share of toxic neighbours, weighed by inverse squared distance, as log-odds."""
+        w = (1 - s + NEAR) ** -2
+        toxic = float((w * self.labels[near]).sum())
+        return float(np.log((toxic + EVEN) / (float(w.sum()) - toxic + EVEN)))
+
+    def score(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -700, 700))))
+
+
+def build_index(terms: list[bytes], ids: np.ndarray, labels: np.ndarray, first: np.ndarray, found: np.ndarray, tf: np.ndarray) -> Index:
+    """Lists of examples given as term counts; the entries of example ``e`` begin at ``first[e]``. Not calibrated."""
+    n, df = len(ids), np.bincount(found, minlength=len(terms))
+    idf = np.log((1 + n) / (1 + df)) + 1
+    own = np.repeat(np.arange(n), np.diff(first))
+    w = (1 + np.log(tf)) * idf[found]
+    norm = np.sqrt(np.bincount(own, w * w, n)) if n else np.zeros(0)
+    w = w / norm[own]
+    heaviest, strongest = np.full(n, len(terms)), np.zeros(n)
+    np.maximum.at(strongest, own, w)
+    lead = w == strongest[own]
+    np.minimum.at(heaviest, own[lead], found[lead])
+    order = np.lexsort((ids, -strongest, heaviest))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    holder = place[own]
+    by_term = np.lexsort((holder, found))
+    found, holder, w = found[by_term], holder[by_term], w[by_term]
+    blocks = -(-n // BLOCK)
+    key = found * max(blocks, 1) + holder // BLOCK
+    at = np.searchsorted(key, np.arange(len(terms) * blocks + 1))
+    top = np.zeros(len(terms) * blocks)
+    np.maximum.at(top, key, w)
+    edges = np.concatenate([at[:-1].reshape(len(terms), blocks), at[1:].reshape(len(terms), blocks)[:, -1:]], axis=1) if blocks else np.zeros((len(terms), 1), np.int64)
+    return Index(terms, idf, ids[order], labels[order], top.reshape(len(terms), blocks), edges, holder, w)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -231,88 +205,136 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_examples: int = EXAMPLES) -> Index:
+# --- learning -----------------------------------------------------------------
+
+
+def _words_of(examples: DataFrame) -> DataFrame:
+    """(word, df, toxic): in how many examples, and toxic ones, a word occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = b.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, row, code, words in coded_words(b.column(0)):
+                for kind in variants(words):
+                    terms = kind.dictionary_encode()
+                    at = terms.indices.fill_null(-1).to_numpy()[code].astype(np.int64)
+                    key = np.unique(at[at >= 0] * (hi - lo) + row[at >= 0])
+                    which, of = key // (hi - lo), key % (hi - lo)
+                    df = np.bincount(which, minlength=len(terms.dictionary))
+                    toxic = np.bincount(which, label[lo + of], len(terms.dictionary))
+                    yield pa.RecordBatch.from_arrays([terms.dictionary.cast(pa.string()), pa.array(df.astype(np.int64)), pa.array(toxic.astype(np.int64))], ["word", "df", "toxic"])
+
+    return examples.select("_t", "_y").mapInArrow(run, "word string, df long, toxic long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"))
+
+
+def _chosen_terms(examples: DataFrame, max_terms: int) -> list[bytes]:
+    """The words with the largest |z| between occurrence and label, ties by word."""
+    n, toxic = examples.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    if n == 0 or toxic in (0, n):
+        return []
+    spread = F.sqrt(F.col("df") * (n - F.col("df")) * F.lit(float(toxic)) * (n - toxic) / n)
+    z = F.when(F.col("df") < n, F.abs(n * F.col("toxic") - F.col("df") * toxic) / spread).otherwise(0.0)
+    rows = _words_of(examples).withColumn("z", z).orderBy(F.desc("z"), "word").limit(max_terms).select("word").collect()
+    return sorted(r["word"].encode() for r in rows)
+
+
+def _counted(examples: DataFrame, terms: list[bytes]) -> pd.DataFrame:
+    """Every example's terms and counts: at most ``max_examples`` rows of ``max_terms`` pairs of numbers."""
+    value_set = pa.array(terms, pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, found, often = term_counts(b.column(2), value_set)
+            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (found, often)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["_id", "_y", "found", "often"])
+
+    return examples.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y int, found array<int>, often array<int>").toPandas().sort_values("_id")
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_examples: int = EXAMPLES, max_terms: int = TERMS) -> Index:
     """Fit the index on at most ``max_examples`` labelled rows, those with the least hash of their id."""
+    spark = docs.sparkSession
     marked = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("_lid")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     # At most max_examples rows of two numbers are sent to the tasks.
     joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t"))
+    examples = written(joined, "examples")
+    terms = _chosen_terms(examples, max_terms)
+    rows = _counted(examples, terms)
+    sizes = np.array([len(x) for x in rows["found"]], np.int64)
+    flat = [np.concatenate([np.zeros(0, np.int64), *rows[c]]).astype(np.int64) for c in ("found", "often")]
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    ids, marks = rows["_id"].to_numpy(np.int64), rows["_y"].to_numpy(float)
+    index = build_index(terms, ids, marks, first, *flat)
+    handle = spark.sparkContext.broadcast(index)
+
+    def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = handle.value
+        place = {int(i): k for k, i in enumerate(own.ids)}
+        for b in batches:
+            votes = []
+            for i, found, often in zip(b["_id"], b["found"], b["often"]):
+                t = np.asarray(found, np.int64)
+                near, s, _ = own.nearest(t, own.weighted(t, np.asarray(often)), skip=place[i]) if len(t) else (t, t, 0)
+                votes.append(own.vote(near, s) if len(near) else None)
+            yield pd.DataFrame({"y": b["_y"], "vote": pd.Series(votes, dtype=float)})
+
+    table = spark.createDataFrame(rows, "_id long, _y int, found array<int>, often array<int>")
+    voted = table.repartition(spark.sparkContext.defaultParallelism).mapInPandas(leave_out, "y int, vote double").toPandas()
+    y, vote = voted["y"].to_numpy(float), voted["vote"].to_numpy(float)
+    has = ~np.isnan(vote)
+    prior = (marks.sum() + 0.1) / (len(marks) + 1) if len(marks) else 0.0
+    index.blank = float((y[~has].sum() + prior) / ((~has).sum() + 1))
+    index.slope, index.shift = _logistic(vote[has], y[has])
+    return index
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = []
-            for c in map(term_counts, batch["_t"]):
-                h, n = term_hashes(list(c)), np.array(list(c.values()), np.int32)
-                held.append((h[order := np.argsort(h)].tobytes(), n[order].tobytes()))
-            yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "h": [h for h, _ in held], "c": [c for _, c in held]})
-
-    # Twelve bytes for each term of each example come to the driver, partition by partition.
-    rows = written(joined.mapInPandas(count, "_id long, _y int, h binary, c binary"), "examples").toLocalIterator()
-    held = sorted(((r["_id"], r["_y"], np.frombuffer(r["h"], np.uint64), np.frombuffer(r["c"], np.int32)) for r in rows), key=lambda x: x[0])
-    size = np.array([len(x[2]) for x in held], np.int64)
-    keys = np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in held)])
-    keys.sort()
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    terms, tf = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ((np.searchsorted(keys, h).astype(np.int32) for _, _, h, _ in held), (c for *_, c in held)))
-    ids, marks = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], float)
-    held.clear()
-    return _indexed(ids, marks, size, terms, tf, keys)
+
+# --- scoring ------------------------------------------------------------------
 
 
 class _Scorer:
-    """Scores texts in a task, remembering the term numbers of words and openings."""
+    """Scores texts in a task; equal term counts are looked up once."""
 
     def __init__(self, index: Index):
-        self.index, self.words, self.openings = index, {}, {}
-
-    def learn_words(self, new: list[str]) -> None:
-        terms = [word_terms(w) for w in new]
-        unseen = [t for t in dict.fromkeys(chain.from_iterable(ts[1:] for ts in terms)) if t not in self.openings]
-        found = self.index.numbers(term_hashes(new + unseen)).tolist()
-        self.openings.update(zip(unseen, found[len(new) :]))
-        for w, x, ts in zip(new, found, terms):
-            self.words[w] = [y for y in (x, *(self.openings[t] for t in ts[1:])) if y >= 0]
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(_WORD.findall((text or "").lower()))
-        if len(self.words) > 200_000 or len(self.openings) > 400_000:
-            self.words.clear()
-            self.openings.clear()
-        if new := [w for w in words if w not in self.words]:
-            self.learn_words(new)
-        found = [self.words[w] for w in words]
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        n = np.repeat(np.fromiter(words.values(), np.int64), np.fromiter(map(len, found), np.int64))
-        terms, place = np.unique(flat, return_inverse=True)
-        return terms, np.bincount(place, n, len(terms))
-
-    def __call__(self, texts) -> Iterator[tuple[float, list[int], list[float]]]:
-        """One result a text; equal term counts of a batch are scored once."""
-        places: dict[tuple[bytes, bytes], int] = {}
-        distinct, at = [], []
-        for t in texts:
-            c = self.counts(t)
-            at.append(places.setdefault((c[0].tobytes(), c[1].tobytes()), len(places)))
-            if at[-1] == len(distinct):
-                distinct.append(c)
-        done = [(score, self.index.ids[i].tolist(), s.tolist()) for score, i, s in self.index.scores(distinct)]
-        return iter([done[a] for a in at])
+        self.index, self.terms, self.known = index, pa.array(index.terms, pa.binary()), {}
+
+    def __call__(self, column: pa.Array) -> list[tuple[float, list[int], list[float]]]:
+        first, found, often = term_counts(column, self.terms)
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            t, n = found[a:b], often[a:b]
+            key = t.astype(np.int32).tobytes() + n.astype(np.int32).tobytes()
+            if key not in self.known:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[key] = self.scored(t, n)
+            out.append(self.known[key])
+        return out
+
+    def scored(self, t: np.ndarray, n: np.ndarray) -> tuple[float, list[int], list[float]]:
+        near, s, _ = self.index.nearest(t, self.index.weighted(t, n)) if len(t) else (t, t, 0)
+        if not len(near):
+            return self.index.blank, [], []
+        return self.index.score(self.index.vote(near, s)), self.index.ids[near].tolist(), s.tolist()
 
 
 def score_texts(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``score``, ``predicted``, ``neighbours``, ``similarities``) of every row."""
     handle = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(handle.value)
-        for batch in batches:
-            out = list(scorer(batch["t"]))
-            yield pd.DataFrame({"k": batch["k"], "score": [x[0] for x in out], "neighbours": [x[1] for x in out], "similarities": [x[2] for x in out]})
+        for b in batches:
+            out = scorer(b.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
+                ["k", "score", "neighbours", "similarities"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "k string, score double, neighbours array<long>, similarities array<double>")
-    return scored.select(F.col("k").cast(kind).alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
+    scored = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"k {kind}, score double, neighbours array<long>, similarities array<double>")
+    return scored.select(F.col("k").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
 
 
 def toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> Column:
@@ -322,6 +344,6 @@ def toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(handle.value)
         for batch in batches:
-            yield pd.Series([x[0] for x in scorer(batch)], dtype=float)
+            yield pd.Series([x[0] for x in scorer(pa.array(batch, pa.large_string(), from_pandas=True))], dtype=float)
 
     return F.pandas_udf(run, "double")(F.col(text_col))

@@ -136,19 +136,83 @@ def test_block_max_search_is_exact():
     from tessella.llm.toxicity import build_index
 
     r = random.Random(9)
-    counts = [{t: r.randint(1, 3) for t in r.sample(range(40), r.randint(0, 9))} for _ in range(500)]
-    index = build_index(list(range(500)), [r.randint(0, 1) for _ in range(500)], counts, [f"t{i}" for i in range(40)])
-    dense = np.zeros((500, 40))
-    for e, c in enumerate(counts):
-        ts, w = index.vector(c)
-        dense[e, ts] = w
-    for _ in range(50):
-        ts, w = index.vector({t: 1 for t in r.sample(range(40), 5)})
-        q = np.zeros(40)
-        q[ts] = w
-        want = np.sort(dense @ q)[::-1][:15]
-        _, s = index.nearest(ts, w)
-        assert np.allclose(s, want[: len(s)]) and (len(s) == 15 or want[len(s)] == 0)
+    for n in (500, 1):
+        counts = [{t: r.randint(1, 3) for t in sorted(r.sample(range(40), r.randint(0, 9)))} for _ in range(n)]
+        labels = np.array([float(r.randint(0, 1)) for _ in counts])
+        first = np.cumsum([0, *map(len, counts)])
+        flat = [np.array([x for c in counts for x in part(c)], np.int64) for part in (dict.keys, dict.values)]
+        index = build_index([b"t%d" % i for i in range(40)], np.arange(n) * 3, labels, first, *flat)
+        dense = np.zeros((n, 40))
+        for e, c in enumerate(counts):
+            ts = np.array(list(c), np.int64)
+            if len(ts):
+                dense[e, ts] = index.weighted(ts, np.array(list(c.values())))
+        all_read = 0
+        for _ in range(60):
+            ts = np.array(sorted(r.sample(range(40), r.randint(1, 6))))
+            w = index.weighted(ts, np.ones(len(ts)))
+            skip = r.choice([-1, r.randrange(n)])
+            s = dense[:, ts] @ w
+            if skip >= 0:
+                s[index.ids[skip] // 3] = 0
+            order = np.lexsort((np.arange(n), -np.round(s, 12)))[:15]
+            order = order[s[order] > 0]
+            near, got, read = index.nearest(ts, w, skip=skip)
+            assert np.allclose(got, s[order]) and set(index.ids[near]) >= {3 * i for i in order if s[i] > got[-1] + 1e-9}
+            assert np.allclose(index.labels[near], labels[index.ids[near] // 3])
+            all_read += read
+        assert n == 1 or all_read > 0
+
+
+def test_equal_text_outvotes_distant_neighbours():
+    import numpy as np
+
+    from tessella.llm.toxicity import build_index
+
+    index = build_index([], np.arange(15), np.array([1.0] + [0.0] * 14), np.zeros(16, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    near = np.arange(15)
+    assert index.vote(near, np.array([1.0] + [0.1] * 14)) > 0 > index.vote(near, np.array([0.1] * 15))
+
+
+def test_score_is_the_calibrated_vote_of_all_examples(spark):
+    """Scores recomputed from full term counts by plain dictionaries."""
+    from tessella.llm.toxicity import EVEN, NEAR, learn, score_texts
+
+    r = random.Random(11)
+    texts = [(i, " ".join(r.choice(["dunce", "Kind", "tale", "été", "moon", "sun"]) for _ in range(r.randint(1, 8))) + f" w{chr(97 + i % 26)}") for i in range(60)]
+    labels = {i: int("dunce" in t) for i, t in texts[:40]}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    split = lambda t: Counter(x for w in re.findall("[a-zé]+", t.lower()) for x in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)))
+    df = Counter(w for i, t in texts[:40] for w in split(t))
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (math.log(41 / (1 + df[w])) + 1) for w, n in split(t).items() if w in df}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    own = {i: vector(t) for i, t in texts[:40]}
+    for row in score_texts(docs, index).collect():
+        v = vector(dict(texts)[row.doc_id])
+        s = sorted(((-sum(x * u.get(w, 0) for w, x in v.items()), i) for i, u in own.items()))[:15]
+        s = [(-x, i) for x, i in s if x < 0]
+        assert row.similarities == pytest.approx([x for x, _ in s], abs=1e-9)
+        weigh = lambda x: (1 - min(x, 1.0) + NEAR) ** -2
+        got = {i: x for i, x in zip(row.neighbours, row.similarities)}
+        toxic = sum(weigh(x) * labels[i] for i, x in got.items())
+        vote = math.log((toxic + EVEN) / (sum(map(weigh, got.values())) - toxic + EVEN))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-(index.slope * vote + index.shift))), rel=1e-9)
+
+
+def test_terms_are_bounded_by_their_number_alone(spark):
+    from tessella.llm.toxicity import learn
+
+    docs = spark.createDataFrame([(i, f"{'dunce' if i % 2 else 'kind'} some alpha") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    assert learn(docs, labels).terms == [b"alph*", b"alpha", b"dunc*", b"dunce", b"kind", b"some"]
+    assert learn(docs, labels, max_terms=3).terms == [b"dunc*", b"dunce", b"kind"]
+    one = learn(docs, labels.where("toxic = 1"))
+    assert one.terms == [] and 0.5 < one.blank < 1
 
 
 def test_toxicity_keeps_every_term_of_few_examples(spark):
@@ -157,7 +221,7 @@ def test_toxicity_keeps_every_term_of_few_examples(spark):
     texts = [(i, f"{'dunce' if i % 2 else 'kind'} tale{i} alpha") for i in range(12)]
     docs = spark.createDataFrame(texts + [(20, "a dunce there"), (21, "kind people"), (22, "tale4")], "doc_id long, text string")
     index = learn(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int"))
-    assert len(index.keys) == len({t for _, x in texts for w in x.split() for t in ([w] if not w.startswith("tale") else ["tale"])} | {"dunc*", "alph*"})
+    assert index.terms == [b"alph*", b"alpha", b"dunc*", b"dunce", b"kind", b"tale"]
     out = {r.doc_id: r for r in score_texts(docs, index).collect()}
     assert out[20].predicted == 1 and out[21].predicted == 0 and out[20].score != out[21].score
     assert all(i % 2 for i in out[20].neighbours) and len(out[20].neighbours) == 6

@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and the stages of the pipeline in order."""
 
+import os
+
 import pytest
 
 from oracle_check import compare, connect
@@ -17,6 +19,7 @@ def test_query_against_sql(spark, name):
 
 def test_stages(spark):
     import corpus_pipeline as p
+    from tessella.llm import queries  # noqa: F401
     from tessella.llm.common import QUERIES, written
 
     names = [n for n, _ in p.STAGES]
@@ -43,3 +46,14 @@ def test_stages(spark):
     for r in seen[4].collect():
         assert r.n_chars == (len(r.text) if r.text != old[r.doc_id].text else old[r.doc_id].n_chars)
     assert p.run(spark, SF).columns == seen[5].columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_every_labelled_toxic_row_goes(spark):
+    import corpus_pipeline as p
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r.doc_id for r in p.drop_toxic(spark, docs, SF).select("doc_id").collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
+    assert toxic and not toxic & kept and len(clean & kept) >= 0.95 * len(clean)
