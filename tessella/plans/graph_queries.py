@@ -17,6 +17,7 @@ from tessella.operators import distances as D
 from tessella.operators import encode as EN
 from tessella.operators import enrichment as G
 from tessella.operators import flow as FL
+from tessella.operators import infomax as IM
 from tessella.operators import local as LO
 from tessella.operators import mcl as M
 from tessella.operators import modularity as Q
@@ -742,6 +743,19 @@ def _(s, d):
     return y.select("node_id", *[(F.round(F.col("x")[k], 5) + 0.0).alias(f"y{k}") for k in (0, 1)])
 
 
+@query("infomax_training")
+def _(s, d):
+    """Losses of two epochs over the components of all lines, one of five held for validation."""
+    g = gb(s, d)
+    comps = C.connected_components(g).select("node_id", F.col("component_id").alias("graph_id"))
+    x = scaled_features(s, d).join(part_nodes(s, d).select("node_id", F.expr("cast(substr(split_part(residue_id, '_', 1), 2, 5) as int) % 200").alias("protein")), "node_id")
+    split = F.when(F.pmod(F.xxhash64("graph_id"), F.lit(5)) == 0, "val").otherwise("train")
+    nodes = comps.join(x, "node_id").select("graph_id", "node_id", "x", "protein", F.least(F.floor(F.col("x")[1] * 10), F.lit(41)).cast("int").alias("bin"), split.alias("split"))
+    edges = g.edges.join(comps.withColumnRenamed("node_id", "u"), "u").select("graph_id", "u", "v")
+    c = IM.InfomaxConfig(n_proteins=200, n_bins=42, n_numeric=2, epochs=2, lr=0.01)
+    return IM.history(s, IM.train(nodes, edges, c, scratch_path(s, "infomax")))
+
+
 @query("mean_readout", f"{rec(base(G_B), CC, _X)} select c as graph_id, round(avg(x0),9) as v0, round(avg(x1),9) as v1 from cc join fx on fx.n = cc.n group by 1")
 def _(s, d):
     x = C.connected_components(gb(s, d)).join(line_features(s, d), "node_id").withColumnRenamed("component_id", "graph_id")
