@@ -15,6 +15,7 @@ of the inputs are never read. A text of any length is scanned whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +29,7 @@ AUTOMATON_BYTES = 4_000_000
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 _FOLD = bytes(32 if b in _SEPARATORS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_BUILT: dict[int, tuple] = {}
+_BUILT: dict[tuple[str, int], list] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,7 +42,7 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
-def _automaton(items: list[tuple[str, str]], window: int):
+def _automaton(items: list[tuple[str | None, str]], window: int):
     import ahocorasick
 
     numbers: dict[bytes, int] = {}
@@ -49,7 +50,9 @@ def _automaton(items: list[tuple[str, str]], window: int):
     for item_id, text in items:
         seq = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words_of(text))
         for i in range(max(1, len(seq) - window + 1) if seq else 0):
-            patterns.setdefault(seq[i : i + window], set()).add(item_id)
+            owners = patterns.setdefault(seq[i : i + window], set())
+            if item_id is not None:
+                owners.add(item_id)
     if not patterns:
         return numbers, None
     auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -61,9 +64,10 @@ def _automaton(items: list[tuple[str, str]], window: int):
 
 def _built(handle, window: int):
     """The automaton of a broadcast item table, made once in each worker."""
-    if (key := (id(handle.value), window)) not in _BUILT:
+    token, shards = handle.value
+    if (key := (token, window)) not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = [_automaton(shard, window) for shard in handle.value]
+        _BUILT[key] = [_automaton(shard, window) for shard in shards]
     return _BUILT[key]
 
 
@@ -89,11 +93,11 @@ def scan_text(text: str | None, automata: list[tuple]) -> tuple[int, list[tuple[
 
 def _shared(items: DataFrame, item_id: str, item_text: str):
     """The items dealt over as many automata as their size asks for, sent to the tasks."""
-    pool = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("i is not null")
+    pool = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     size = pool.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     n = int(size // AUTOMATON_BYTES) + 1
     shards = [[(r["i"], r["t"]) for r in pool.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().collect()] for k in range(n)]
-    return items.sparkSession.sparkContext.broadcast(shards)
+    return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, shards))
 
 
 def hit_words(items: DataFrame, text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = 10) -> Column:
