@@ -7,7 +7,8 @@ over word numbers. A text is scanned once; hits are word positions and are
 mapped back to character offsets of the untouched text.
 
 Edge cases: a null or empty text has no words and no hits; null or wordless
-items give no pattern; equal items all count as found; repeated text rows are
+items give no pattern; windows of an item with a null id hit words, but the item
+is not listed; equal items all count as found; repeated text rows are
 scanned one by one; an empty item table leaves every text clean; other columns
 of the inputs are never read. A text of any length is scanned whole.
 """
