@@ -42,7 +42,7 @@ from tessella.llm.common import written
 from tessella.llm.words import text_chunks
 
 #: Bounds of what is fitted: labelled rows looked at, and dimensions of the space.
-EXAMPLES, TERMS = 12_000, 256
+EXAMPLES, TERMS = 12_000, 128
 BLOCK = 32
 #: Blocks visited between two looks at the k-th similarity.
 STRIDE = 8
