@@ -26,6 +26,9 @@ from tessella.llm.common import release, written
 from tessella.llm.words import text_chunks, word_hashes
 
 BYTES, WORDS = "bytes", "words"
+# A run travels as one long: its first window above, the number of its windows below; a text has less than 2^31 of either.
+COUNT_BITS = 32
+COUNT_MASK = (1 << COUNT_BITS) - 1
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,7 +55,7 @@ def run_rows(rows: DataFrame, kind: str, length: int, anchor: int) -> DataFrame:
                 symbols, first = _symbols(kind, data, offs)
                 r = runs_of(symbols, first, length, anchor)
                 if len(r):
-                    at = (r.first - first[r.text] << 9) + (r.last - r.first + 1)
+                    at = (r.first - first[r.text] << COUNT_BITS) + (r.last - r.first + 1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(r.key.view(np.int64)), pa.array(r.content.view(np.int64)), pa.array(docs[a:b][r.text]), pa.array(tags[a:b][r.text]), pa.array(at.astype(np.int64))],
                         ["key", "content", "doc", "tag", "at"],
@@ -63,9 +66,9 @@ def run_rows(rows: DataFrame, kind: str, length: int, anchor: int) -> DataFrame:
 
 def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window starts, index of the run of each) of packed runs."""
-    n = at & 511
+    n = at & COUNT_MASK
     which = np.repeat(np.arange(len(at)), n)
-    return (at >> 9)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), which
+    return (at >> COUNT_BITS)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), which
 
 
 def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -154,8 +157,8 @@ def removed_symbols(column: pa.Array, tags: np.ndarray, found: pa.Array, kind: s
                 mine = g == tags[a + t]
                 edge = np.zeros(n + 1, np.int64)
                 full = v[(p == 0) & mine]
-                np.add.at(edge, full >> 9, 1)
-                np.add.at(edge, (full >> 9) + (full & 511) - 1 + length, -1)
+                np.add.at(edge, full >> COUNT_BITS, 1)
+                np.add.at(edge, (full >> COUNT_BITS) + (full & COUNT_MASK) - 1 + length, -1)
                 some = v[(p == 1) & mine]
                 if len(some):
                     if hashes is None:

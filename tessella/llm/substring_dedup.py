@@ -1,6 +1,7 @@
-"""Substring dedup over a compacted de Bruijn graph of words.
+"""Substring dedup over paths of word windows.
 
-A window of ``length`` words is an edge of the graph from its first to its last
+No table of all de Bruijn edges is made and nothing is compacted by joins: runs
+are cut out of each text, which leaves the same paths. A window of ``length`` words is an edge of the graph from its first to its last
 ``length - 1`` words. Edges travel compacted: neighbouring windows of a text
 that share their least gram form a path, and equal paths are one row. A path
 that is the only one through its gram has no branch: all its edges have the

@@ -1,18 +1,18 @@
-"""Suffix-array dedup of byte strings by a depth-limited radix sort.
+"""Suffix dedup of byte strings: suffixes grouped through their first ``length`` bytes.
 
-Only the order of suffixes through the first ``length`` bytes matters, and of it
-only which suffixes are equal that far. The sort goes in passes from the
-coarsest digit on, and a suffix leaves as soon as it is alone:
+Of the order of suffixes only it matters which are equal that far. No order is
+made (a radix sort by leading bytes would make one); groups are split by hashes
+in passes from the coarsest on, and a suffix leaves as soon as it is alone:
 
-* first digit: the suffix's anchor, the least ``length / 2``-byte gram among
+* first pass: the suffix's anchor, the least ``length / 2``-byte gram among
   those in its first ``length`` bytes. Suffixes of one anchor travel as one row;
-* second digit: the whole content under the anchor; equal contents are equal
+* second pass: the whole content under the anchor; equal contents are equal
   groups of suffixes, settled together;
-* last digit, where contents part: the full ``length`` bytes of each suffix of
+* last pass, where contents part: the full ``length`` bytes of each suffix of
   one row per content. Groups of one are the suffixes that occur once.
 
-Equal groups at the end are exactly the repeated windows; all bytes that one
-covers are removed. The first digit is not the first bytes of the suffix: a row
+Equal groups at the end are the repeated windows (equal 64-bit hashes are taken for equal); all bytes that one
+covers are removed. The first pass does not take the first bytes of the suffix: a row
 for every suffix of a byte text costs some eight times the text in shuffles,
 and the anchor gives the same groups from a row for every fifty suffixes.
 

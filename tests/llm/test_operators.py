@@ -100,6 +100,20 @@ def test_repeats_with_many_variants(spark):
     assert {x.doc_id: bytes(x.kept) for x in substring_dedup(df).collect()} == kept
 
 
+def test_repeats_of_long_windows(spark):
+    """Runs of more windows than nine bits can count."""
+    from tessella.llm.substring_dedup import substring_dedup
+    from tessella.llm.suffix_dedup import suffix_dedup
+
+    shared = words(1, 2600)
+    rows = [(1, words(2, 300) + " " + shared), (2, shared + " " + words(3, 200)), (3, words(4, 2500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_symbols, [(y.start, y.end) for y in x.spans]) for x in substring_dedup(df, length=2000).collect()}
+    assert got == {1: (2900, []), 2: (2800, [(0, 2600)]), 3: (2500, [])}
+    gone = {x.doc_id: bytes(x.kept) for x in suffix_dedup(df, length=4000).collect()}
+    assert gone == {i: kept for i, _, kept in brute_bytes(rows, 4000)} and len(gone[2]) < len(rows[1][1]) - 4000
+
+
 # --- 2: toxicity --------------------------------------------------------------
 
 
@@ -448,6 +462,28 @@ def test_mixing(spark, odd, nothing):
     assert mix_sources(nothing).count() == 0
 
 
+def test_mixing_rates_and_names(spark):
+    """Large rates take a pass over their spread, and no column of the caller is touched."""
+    from tessella.llm.mixing import mix_sources, poisson_table
+
+    for row in poisson_table(spark.createDataFrame([(0.0,), (0.3,), (7.5,), (400.0,), (100_000.0,)], "rate double")).collect():
+        if row.rate == 0:
+            assert row.cdf is None
+            continue
+        assert row.cdf[-1] == 1.0 and row.cdf[0] < 1e-15 or row.least == 0
+        assert len(row.cdf) <= 24 * row.rate**0.5 + 33
+        total = math.fsum(math.exp(k * math.log(row.rate) - row.rate - math.lgamma(k + 1)) for k in range(row.least, int(row.rate) + 1))
+        assert row.cdf[int(row.rate) - row.least] == pytest.approx(total, abs=1e-9)
+    rows = [(1, "a" * 10, "small", 9, "u", 7.0)] + [(i, "b" * 1000, "big", 9, "u", 7.0) for i in range(2, 202)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _n long, __unit string, `_rate.cdf` double")
+    out = mix_sources(docs)
+    assert out.columns == [*docs.columns, "copy", "rate", "shuffle_key"]
+    got = out.collect()
+    assert {(r["_n"], r["__unit"], r["_rate.cdf"]) for r in got} == {(9, "u", 7.0)}
+    small = sorted(r["copy"] for r in got if r.source == "small")
+    assert small == list(range(1, len(small) + 1)) and abs(len(small) - 10_000.5) < 600
+
+
 # --- 9: fingerprints ----------------------------------------------------------
 
 
