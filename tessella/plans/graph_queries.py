@@ -16,6 +16,7 @@ from tessella.operators import density as DB
 from tessella.operators import distances as D
 from tessella.operators import encode as EN
 from tessella.operators import enrichment as G
+from tessella.operators import exact_test as ET
 from tessella.operators import flow as FL
 from tessella.operators import infomax as IM
 from tessella.operators import local as LO
@@ -552,6 +553,29 @@ def _(s, d):
     return G.q_values(G.permutation_test(mcl_clusters(s, d), st, n_permutations=10_000, statistic="mean", min_sum=None))
 
 
+def _log_falling(n: str, t: str) -> str:
+    """log(n (n-1) ... (n-t+1)) in SQL."""
+    return f"coalesce(list_sum(list_transform(range({t}), lambda i: ln(({n} - i)::double))), 0)"
+
+
+# Mutated nodes of a cluster among all nodes: the hypergeometric tail.
+@query("exact_test_mutated", f"""{rec(base(G_B), _mcl_cc(0.21), _PN)}, f as materialized (select n, case when m > 0 then 1 else 0 end x from pn), al as (select count(*) nn, cast(sum(x) as bigint) mm from f),
+ ob as materialized (select c, count(*) k, cast(sum(x) as bigint) o from cl join f on f.n = cl.n group by 1), pr as (select distinct k, o from ob), tm as (select k, o, nn, mm, unnest(range(o, least(k, mm)+1)) j from pr, al),
+ tl as (select k, o, sum(exp({_log_falling('k', 'j')} - {_log_falling('j', 'j')} + {_log_falling('mm', 'j')} + {_log_falling('(nn-mm)', '(k-j)')} - {_log_falling('nn', 'k')})) p from tm group by 1, 2)
+ select c as cluster_id, ob.k as cluster_size, ob.o as observed_sum, round(ob.k*mm/nn::double,6) as expected_sum, round(least(1, p),6)+0.0 as p_value from ob join tl on tl.k = ob.k and tl.o = ob.o, al""")
+def _(s, d):
+    n = part_nodes(s, d).withColumn("mutated", (F.col("total_mutations_count") > 0).cast("int"))
+    st = cut(G.with_strata(n, "mutated", mode="all"), "strata")
+    return r6(ET.exact_test(mcl_clusters(s, d), st, min_sum=None), "expected_sum", "p_value").drop("enrichment_score")
+
+
+# The null law of the permutation test itself, in place of its draws; tests enumerate it.
+@query("exact_test_sum")
+def _(s, d):
+    st = cut(G.with_strata(part_nodes(s, d), "total_mutations_count"), "strata")
+    return G.q_values(ET.exact_test(mcl_clusters(s, d), st, min_sum=1))
+
+
 @query("q_values", """with p as (select l_partkey as k, round(avg(l_discount)*5,6) as p_value from {lineitem} group by 1), r as (select *, rank() over (order by p_value) + count(*) over (partition by p_value) - 1 as hi, count(*) over () as m from p)
  select k, p_value, round(least(1, min(p_value*m/hi) over (order by p_value desc, k range between unbounded preceding and current row)),6) as q_value from r""")
 def _(s, d):
