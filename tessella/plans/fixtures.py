@@ -12,12 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.graph import Graph
 
-_RES = "substring('alaargasnaspcysglngluglyhisileleulysmetpheproserthrtrptyrval', cast(({k} % 20)*3+1 as int), 3)"
+# The residues' three-letter names in alphabetical order of their full names.
+RESIDUES = ["ala", "arg", "asn", "asp", "cys", "gln", "glu", "gly", "his", "ile", "leu", "lys", "met", "phe", "pro", "ser", "thr", "trp", "tyr", "val"]
+
+
+def residue(key: str) -> str:
+    """SQL for the residue that an integer stands for."""
+    return f"case {key} % {len(RESIDUES)} " + " ".join(f"when {i} then '{name}'" for i, name in enumerate(RESIDUES)) + " end"
+
+
 _PROT = "'p'||lpad(cast({k} % 200 as string),5,'0')||case when {k} % 10 = 0 then '{sep}'||cast({k} % 3 + 2 as string) else '' end"
 
 NODES = f"""
-select {_PROT.format(k='p_partkey', sep='-')}||'_'||cast(p_partkey as string)||'_'||{_RES.format(k='p_partkey')} as node_id,
- p_partkey as pk, p_retailprice as mutability, {_RES.format(k='p_partkey')} as residue_name,
+select {_PROT.format(k='p_partkey', sep='-')}||'_'||cast(p_partkey as string)||'_'||{residue('p_partkey')} as node_id,
+ p_partkey as pk, p_retailprice as mutability, {residue('p_partkey')} as residue_name,
  coalesce(m.cnt,0) as total_mutations_count,
  case when p_partkey % 23 = 0 then null else round(m.path,6) end as avg_am_pathogenicity,
  case when p_partkey % 7 = 0 then '[]' when p_partkey % 11 = 0 then null when p_partkey % 2 = 0 then '[''phos'', ''acet'']' else '[''phos'']' end as ptms_mapped,
@@ -29,10 +37,10 @@ from {{part}} left join (select l_partkey, cast(sum(case when l_returnflag='R' a
 RAW_EDGES = f"""
 select {_PROT.format(k='a.l_partkey', sep='_')} as uniprot1,
  case when a.l_orderkey % 101 = 0 then -a.l_partkey else a.l_partkey end as pdb_auth_resi1,
- upper({_RES.format(k='a.l_partkey')}) as res3n1,
+ upper({residue('a.l_partkey')}) as res3n1,
  {_PROT.format(k='b.l_partkey', sep='_')} as uniprot2,
  case when b.l_orderkey % 101 = 0 then -b.l_partkey else b.l_partkey end as pdb_auth_resi2,
- upper({_RES.format(k='b.l_partkey')}) as res3n2,
+ upper({residue('b.l_partkey')}) as res3n2,
  'x'||cast(a.l_suppkey % 50 as string) as pdb_code,
  case when a.l_suppkey <> b.l_suppkey then 'inter-chain' else 'intra-chain' end as chain_flag,
  case when a.l_orderkey % 17 = 0 then null else round(100*a.l_discount-100*b.l_tax-2,6)+0.0 end as cleaned_total_energy

@@ -13,7 +13,7 @@ from tessella.operators import encode as EN
 from tessella.operators import enrichment as G
 from tessella.operators import labels as L
 from tessella.operators import nodes as N
-from tessella.plans.fixtures import CONTACTS, G_B, LINE_NODES, NODES, RAW_EDGES, derive
+from tessella.plans.fixtures import CONTACTS, G_B, LINE_NODES, NODES, RAW_EDGES, derive, residue
 from tessella.plans.registry import query
 from tessella.runtime import scratch_path
 from tessella.sources import graphs as SG
@@ -40,9 +40,9 @@ PROTEINS = """select 'ENSP'||lpad(cast(k as string),5,'0') as ensp, 'ENST'||lpad
  translate(md5('p'||cast(k as string))||md5('q'||cast(k as string)), '0123456789abcdef', 'ARNDCQEGHILKMFPS') as pseq
  from (select distinct p_partkey % 400 as k from {part}) t"""
 # Nodes with positions inside the sequences.
-SITES = """select 'p'||lpad(cast(l_partkey % 200 as string),5,'0')||case when l_partkey % 10 = 0 then '-2' else '' end||'_'||cast(l_suppkey % 40 as string)||'_'
- ||substring('alaargasnaspcysglngluglyhisileleulysmetpheproserthrtrptyrval', cast((l_suppkey % 20)*3+1 as int), 3) as node_id
- from {lineitem} group by 1"""
+SITES = f"""select 'p'||lpad(cast(l_partkey % 200 as string),5,'0')||case when l_partkey % 10 = 0 then '-2' else '' end||'_'||cast(l_suppkey % 40 as string)||'_'
+ ||{residue('l_suppkey')} as node_id
+ from {{lineitem}} group by 1"""
 _BASE = "substring('ACGT', cast({} as int) % 4 + 1, 1)"
 MODEL = f"""select {_BASE.format('floor(c/16)')}||{_BASE.format('floor(c/4)')}||{_BASE.format('c')} as ctx,
  {_BASE.format('floor(c/16)')}||{_BASE.format('floor(c/4)+1+m')}||{_BASE.format('c')} as mut, round(avg(l_discount),6) as freq

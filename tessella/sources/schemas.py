@@ -1,26 +1,52 @@
 """Declared schemas of the input tables."""
 
-from pyspark.sql import types as T
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructType
 
-
-def _fields(spec: str) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in spec_pairs(spec)])
-
-
-def spec_pairs(spec: str):
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType()}
-    for item in spec.split(","):
-        name, kind = item.rsplit(":", 1)
-        yield name.strip(), kinds[kind]
-
-
-CONTACT_EDGES = _fields(
-    "uniprot1:s,pdb_auth_resi1:i,res3n1:s,uniprot2:s,pdb_auth_resi2:i,res3n2:s,pdb_code:s,chain_flag:s,"
-    "coulombs_energy:d,lj_energy:d,total_energy:d,cleaned_lj_energy:d,cleaned_total_energy:d")
-EXCLUDED_STRUCTURES = _fields("0:s")
-INCLUDED_PROTEINS = _fields("uniprot:s")
-CODON_CONTEXTS = _fields("node_id:s,ensmbl_id:s,cds_contexts:s,unique_cds_contexts:s")
-COSMIC = _fields("Accession Number:s,FATHMM score:d,Mutation CDS:s")
-MUTAGENE = _fields("label:s,Transcript ID:s,mutation:s,Protein ID:s,PubMed Id:s,Swissprot ID:s")
-CHASMPLUS = _fields("Transcript ID:s,gwCHASMplus score:d,mutation:s,Novel:s")
-SUBSTITUTION_MODEL = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
+CONTACT_EDGES = (
+    StructType()
+    .add("uniprot1", StringType())
+    .add("pdb_auth_resi1", IntegerType())
+    .add("res3n1", StringType())
+    .add("uniprot2", StringType())
+    .add("pdb_auth_resi2", IntegerType())
+    .add("res3n2", StringType())
+    .add("pdb_code", StringType())
+    .add("chain_flag", StringType())
+    .add("coulombs_energy", DoubleType())
+    .add("lj_energy", DoubleType())
+    .add("total_energy", DoubleType())
+    .add("cleaned_lj_energy", DoubleType())
+    .add("cleaned_total_energy", DoubleType())
+)
+EXCLUDED_STRUCTURES = StructType().add("0", StringType())
+INCLUDED_PROTEINS = StructType().add("uniprot", StringType())
+CODON_CONTEXTS = (
+    StructType()
+    .add("node_id", StringType())
+    .add("ensmbl_id", StringType())
+    .add("cds_contexts", StringType())
+    .add("unique_cds_contexts", StringType())
+)
+COSMIC = (
+    StructType()
+    .add("Accession Number", StringType())
+    .add("FATHMM score", DoubleType())
+    .add("Mutation CDS", StringType())
+)
+MUTAGENE = (
+    StructType()
+    .add("label", StringType())
+    .add("Transcript ID", StringType())
+    .add("mutation", StringType())
+    .add("Protein ID", StringType())
+    .add("PubMed Id", StringType())
+    .add("Swissprot ID", StringType())
+)
+CHASMPLUS = (
+    StructType()
+    .add("Transcript ID", StringType())
+    .add("gwCHASMplus score", DoubleType())
+    .add("mutation", StringType())
+    .add("Novel", StringType())
+)
+SUBSTITUTION_MODEL = MapType(StringType(), MapType(StringType(), DoubleType()))
