@@ -74,6 +74,18 @@ LINE_NODES = "select distinct l_orderkey*1000000+l_partkey n, l_partkey pk from
 G_C = _neighbours("{k}*40+{o}%40")
 FOLDED_NODES = "select distinct l_partkey*40+l_orderkey%40 n, l_partkey pk from {lineitem}"
 
+
+
+def _weighted(node: str) -> str:
+    """The edges between such parts with the least of their signed whole weights."""
+    x, y = (node.replace("{k}", f"{t}.l_partkey").replace("{o}", f"{t}.l_orderkey") for t in "ab")
+    return (f"select least({x},{y}) u, greatest({x},{y}) v, min(round(100*a.l_discount,0)-round(100*b.l_tax,0)-2)+0.0 weight from {{lineitem}} a join {{lineitem}} b"
+            f" on a.l_orderkey=b.l_orderkey and b.l_linenumber-a.l_linenumber in (1,2) and a.l_partkey<>b.l_partkey group by 1,2")
+
+
+# G_B and G_C with weights.
+G_BW, G_CW = _weighted("{o}*1000000+{k}"), _weighted("{k}*40+{o}%40")
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 

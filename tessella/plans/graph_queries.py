@@ -28,8 +28,9 @@ from tessella.operators import partition as P
 from tessella.operators import ranking as R
 from tessella.operators import seeds as S
 from tessella.operators import spectral as SP
+from tessella.operators import weighted as W
 from tessella.operators.cliques import maximal_clique_centrality
-from tessella.plans.fixtures import CONTACTS, FOLDED_NODES, G_A, G_B, G_C, LINE_NODES, NODES, derive, graph
+from tessella.plans.fixtures import CONTACTS, FOLDED_NODES, G_A, G_B, G_BW, G_C, G_CW, LINE_NODES, NODES, derive, graph
 from tessella.plans.registry import query
 from tessella.runtime import cut, scratch_path
 from tessella.sources import graphs as SG
@@ -194,6 +195,30 @@ def _(s, d):
     return r6(D.local_efficiency(gb(s, d)), "local_efficiency")
 
 
+def _weighted_base(g: str) -> str:
+    return f"e as materialized ({g}), s as materialized (select u a, v b, abs(weight) w from e union all select v, u, abs(weight) from e), v as materialized (select distinct a n from s)"
+
+
+def _squarings(rounds: int = 4) -> str:
+    """Shortest lengths over at most 2^rounds edges, for graphs with small components."""
+    step = ["p0 as materialized (select src, n, min(d) d from (select n src, n, 0.0::double d from v union all select a, b, w from s) x group by 1, 2)"]
+    step += [f"p{i} as materialized (select x.src, y.n, min(x.d+y.d) d from p{i - 1} x join p{i - 1} y on y.src = x.n group by 1, 2)" for i in range(1, rounds + 1)]
+    return ", ".join(step)
+
+
+@query("measure_weighted_path_length", f"with {_weighted_base(G_BW)}, {_squarings()} select src as node_id, round(-avg(d),6)+0.0 as avg_w_shortest_path_length from p4 where src <> n group by 1")
+def _(s, d):
+    return r6(W.mean_weighted_distance(graph(s, d, G_BW, ("weight",))), "avg_w_shortest_path_length")
+
+
+@query("weighted_distances_from_least", f"""{rec(_weighted_base(G_CW))}, q(n,d) using key (n) as (select min(n), 0.0::double from v union
+ select s.b, min(q.d+s.w) from q join s on s.a = q.n left join recurring.q t on t.n = s.b where t.n is null or q.d+s.w < t.d group by s.b)
+ select (select min(n) from v) as src, n as node_id, d from q""")
+def _(s, d):
+    g = graph(s, d, G_CW, ("weight",))
+    return W.weighted_distances(g, g.vertices.agg(F.min("node_id").alias("node_id")))
+
+
 @query("pairs_within_two_hops", f"""{rec(base(G_A))} select src, dst, min(d) as d from (select n src, n dst, 0 d from v union all select a, b, 1 from s union all select x.a, y.b, 2 from s x join s y on y.a = x.b) z group by 1, 2""")
 def _(s, d):
     return D.pairs_within(ga(s, d), 2)

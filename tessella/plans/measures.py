@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
-from tessella.operators import betweenness, blocks, cores, density, distances, flow, local, mcl, modularity, partition, ranking, seeds, spectral
+from tessella.operators import betweenness, blocks, cores, density, distances, flow, local, mcl, modularity, partition, ranking, seeds, spectral, weighted
 from tessella.operators.cliques import maximal_clique_centrality
 
 
@@ -33,6 +33,7 @@ MEASURES: dict[str, Callable[[Graph], DataFrame]] = {
     "edge_betweenness": betweenness.edge_betweenness,
     "closeness": distances.harmonic,
     "shortest_path_length_per_node": distances.mean_distance_per_node,
+    "w_shortest_path_length": lambda g: weighted.mean_weighted_distance(g) if "weight" in g.edges.columns else distances.mean_distance_per_node(g),
     "avg_short_path_len": distances.mean_distance_per_component,
     "global_efficiency": distances.global_efficiency,
     "local_efficiency": distances.local_efficiency,
