@@ -9,10 +9,11 @@ turn into other given names of the same gender and script, addresses stay
 routable or private as they were. Candidates that two atoms share, or that are
 themselves an atom of the corpus, are drawn anew until all are distinct.
 
-Persons are found behind a title or by a given name of the lists below, no other
+Persons are found behind a title (up to ``RUN`` capitalised words after it, given
+names outside the lists among them) or by a given name of the lists below, no other
 way; a name found so is replaced in the rest of its text too, where it stands
-alone. Given names come from short lists, so those are permuted as a whole: distinct by
-construction and never themselves.
+alone. Given names come from short lists, and private addresses from blocks that a corpus may use up,
+so those are permuted as a whole: distinct by construction and never themselves.
 
 Edge cases: a null text stays null and an empty one empty; repeated rows get
 equal texts; a text of any length is read whole; an empty table gives no rows;
@@ -53,6 +54,9 @@ SYLLABLES = {
 }
 IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "CH": 21, "AT": 20, "PL": 28, "PT": 25}
 
+#: Capitalised words behind a title that are taken as its name.
+RUN = 3
+
 _GENDER = {n.lower(): k for k, names in GIVEN.items() for n in names}
 _NAMES = "|".join(sorted({x for names in GIVEN.values() for n in names for x in (n, n.upper())}, key=lambda n: (-len(n), n)))
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’-]+"
@@ -68,7 +72,7 @@ _PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w.-])\+\d{8,15}(?!\d)",
-    "person": rf"\b(?:(?:{_TITLE})\b\.?[ ](?:(?:{_NAMES})[ ])?{_CAP}(?:-{_CAP})?|(?:{_NAMES})[ ]{_CAP})",
+    "person": rf"\b(?:(?:(?:{_TITLE})\b\.?[ ])+(?:(?:[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]\.[ ]?)*{_CAP}(?:[ ](?={_CAP}))?){{1,{RUN}}}|(?:{_NAMES})[ ]{_CAP})",
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: Every pattern needs one of these (as the JVM's regular expressions have it); texts without them are passed on as they are.
@@ -130,16 +134,40 @@ def _matches(text: str) -> Iterator[tuple[int, int, str, str]]:
             skip = re.match(r"\+\d{1,3}(?=[ .(-])", value)
             a += skip.end() if skip else 0
             yield a, b, kind, re.sub(r"\D", "", value[skip.end() if skip else 0 :])
+        elif kind == "ip" and _private(value):
+            yield a, b, "private_ip", ".".join(str(int(x)) for x in value.split("."))
         elif kind == "iban":
             yield a, b, kind, value.replace(" ", "")
         else:
             yield a, b, kind, value.lower() if kind == "email" else value
 
 
+def _private(address: str) -> int:
+    """Host bits of the private or loopback block that the address lies in, 0 for other addresses."""
+    first, second = (int(x) for x in address.split(".")[:2])
+    return 24 if first in (10, 127) else 16 if (first, second) == (192, 168) else 20 if first == 172 and 16 <= second < 32 else 0
+
+
+def _shuffled(key: bytes, name: str, x: int, bits: int, back: bool = False) -> int:
+    """A keyed permutation of the numbers of an even count of bits (or its inverse), by balanced rounds."""
+    half = bits // 2
+    mask = (1 << half) - 1
+    left, right = x >> half, x & mask
+    for r in range(7, -1, -1) if back else range(8):
+        mixed = lambda v: int.from_bytes(hmac.new(key, f"{name}|{r}|{v}".encode(), hashlib.sha256).digest()[:4], "big") & mask
+        left, right = (right ^ mixed(left), left) if back else (right, left ^ mixed(right))
+    return left << half | right
+
+
+def _neighbour(key: bytes, name: str, x: int, bits: int) -> int:
+    """The number behind ``x`` in a keyed order of all numbers of that many bits: one to one, never ``x`` itself."""
+    return _shuffled(key, name, (_shuffled(key, name, x, bits, back=True) + 1) % (1 << bits), bits)
+
+
 def _name_parts(value: str, at: int) -> Iterator[tuple[int, int, str, str]]:
     for m in re.finditer(r"[\w'’]+(?:-[\w'’]+)*", value):
         word = _OWNER.sub("", m.group())
-        if m.start() == 0 and word in TITLES:
+        if word in TITLES or len(word) == 1:  # initials tell nothing
             continue
         kind = "given" if word.lower() in _GENDER else "surname"
         yield at + m.start(), at + m.start() + len(word), kind, word.lower()
@@ -191,14 +219,13 @@ def candidate(key: bytes, kind: str, atom: str, attempt: int) -> str:
         labels = domain.split(".")
         return f"{_like(local, s)}@{'.'.join([*(_like(x, s) for x in labels[:-1]), labels[-1]])}"
     if kind == "ip":
-        octets = atom.split(".")
-        if atom.startswith(("10.", "127.")):
-            head = octets[:1]
-        elif atom.startswith("192.168."):
-            head = octets[:2]
-        else:
-            head = [str(11 + s.below(116))]
-        return ".".join([*head, *(str(1 + s.below(254)) for _ in octets[len(head) :])])
+        return ".".join([str(11 + s.below(116)), *(str(1 + s.below(254)) for _ in range(3))])
+    if kind == "private_ip":
+        bits = _private(atom)
+        whole = int.from_bytes(bytes(int(x) for x in atom.split(".")), "big")
+        block = whole >> bits
+        host = _neighbour(key, f"private_ip|{block}", whole & (1 << bits) - 1, bits)
+        return ".".join(str(x) for x in (block << bits | host).to_bytes(4, "big"))
     if kind == "card":
         body = atom[0] + "".join(str(s.below(10)) for _ in atom[1:-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
@@ -235,7 +262,7 @@ def surrogates(atoms: DataFrame, key: bytes = KEY, max_rounds: int = 64) -> Data
 
     A round draws a candidate for every open atom. Of those who share a
     candidate the least atom keeps it; candidates that are an atom, or were
-    given away before, go back. Given names are permuted and need no check.
+    given away before, go back. Given names and private addresses are permuted and need no check.
     """
 
     def draw(attempt: int):
@@ -246,8 +273,9 @@ def surrogates(atoms: DataFrame, key: bytes = KEY, max_rounds: int = 64) -> Data
         return run
 
     schema = "kind string, atom string, surrogate string"
-    done = written(atoms.where("kind = 'given'").mapInPandas(draw(0), schema), "given")
-    open_ = atoms.where("kind != 'given'")
+    permuted = F.col("kind").isin("given", "private_ip")
+    done = written(atoms.where(permuted).mapInPandas(draw(0), schema), "permuted")
+    open_ = atoms.where(~permuted)
     for attempt in range(max_rounds):
         drawn = written(open_.mapInPandas(draw(attempt), schema), "drawn")
         taken = atoms.select("kind", F.col("atom").alias("surrogate")).union(done.select("kind", "surrogate"))

@@ -368,6 +368,42 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in out} & {a for _, a in atoms}
 
 
+def test_names_behind_titles_and_private_addresses(spark):
+    from tessella.llm.pii import KEY, candidate, find_entities, replace_entities
+
+    texts = ["Dr. Kevin Jones came; Jones and Kevin left.", "Prof. Dr. J. Rosa Vega said so. Then rain fell.", "Mrs Smith went home", "on 172.20.0.9 and 172.32.0.9, 192.168.0.255"]
+    out = [r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Dr\. (\S+) (\S+) came; (\S+) and (\S+) left\.", out[0])
+    assert first[1] == first[4] != "Kevin" and first[2] == first[3] != "Jones"
+    assert re.fullmatch(r"Prof\. Dr\. J\. \S+ \S+ said so\. Then rain fell\.", out[1]) and "Rosa" not in out[1] and "Vega" not in out[1]
+    assert re.fullmatch(r"Mrs \S+ went home", out[2]) and "Smith" not in out[2]
+    assert re.fullmatch(r"on 172\.(1[6-9]|2\d|3[01])\.\d+\.\d+ and \d+\.\d+\.\d+\.\d+, 192\.168\.\d+\.\d+", out[3])
+    assert [k for _, _, k, _ in find_entities(texts[3])] == ["private_ip", "ip", "private_ip"]
+    # every address of a block at once: a permutation without a fixed one
+    block = [f"192.168.{i}.{j}" for i in range(256) for j in range(256)]
+    new = [candidate(KEY, "private_ip", a, 0) for a in block]
+    assert set(new) == set(block) and all(a != b for a, b in zip(block, new))
+
+
+def brute_replaced(text, key):
+    """Every mention replaced by hand: the surrogate of its atom at the first attempt, right to left."""
+    from tessella.llm.pii import candidate, find_entities, render
+
+    for a, b, kind, atom in sorted(find_entities(text), reverse=True):
+        text = text[:a] + render(text[a:b], kind, candidate(key, kind, atom, 0)) + text[b:]
+    return text
+
+
+def test_replacement_equals_brute_force(spark):
+    from tessella.llm.pii import KEY, replace_entities
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = {r.doc_id: r.text for r in replace_entities(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    wrong = [i for i, t in texts.items() if out[i] != (t and brute_replaced(t, KEY))]
+    assert out.keys() == texts.keys() and len([i for i in texts if out[i] != texts[i]]) > 5 and not wrong
+
+
 # --- 5: WARC ------------------------------------------------------------------
 
 
