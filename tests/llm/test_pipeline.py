@@ -57,3 +57,18 @@ def test_every_labelled_toxic_row_goes(spark):
     toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
     clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
     assert toxic and not toxic & kept and len(clean & kept) >= 0.95 * len(clean)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+    from corpus_words import words
+
+    base, other, third = words(1, 120), words(2, 90), words(3, 90)
+    rows = [(None, base, "x"), (None, base, "x"), (3, base, "a"), (3, base + " more", "b"), (2, "", "a"), (2, "", "a"), (5, other, "a"), (5, third, "a"), (None, None, "y"), (None, words(4, 60), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row0 string").repartition(3)
+    out = p.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((r.text or "") for r in got if r.text not in (base, base + " more")) == sorted(["", "", "", other, third, words(4, 60)])
+    assert [r.doc_id for r in got if r.text in (base, base + " more")] == [3]
+    assert p.drop_near_duplicates(spark, docs.limit(0), SF).count() == 0
