@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.graph import Graph
 from tessella.operators import betweenness as BC
 from tessella.operators import blocks as BL
 from tessella.operators import components as C
 from tessella.operators import cores as CO
+from tessella.operators import dataset as DS
 from tessella.operators import density as DB
 from tessella.operators import distances as D
 from tessella.operators import flow as FL
@@ -282,3 +284,36 @@ def test_attribute_assortativity_in_the_registry(spark, make):
     att = spark.createDataFrame([(i, i % 2, "xy"[i // 2]) for i in range(4)], "node_id long, n int, k string")
     out = compute_measures(Graph(g.vertices.join(att, "node_id"), g.edges), ["att_assortativity"], {"n": "numeric", "k": "categorical"})
     assert {r.attribute for r in out["att_assortativity"].collect()} == {"n", "k"}
+
+
+def test_balls_write_no_pairs(make, monkeypatch):
+    """Sets travel as arrays: no table written has a row per (anchor, node)."""
+    pairs = list(itertools.combinations(range(30), 2)) + [(i, i + 1) for i in range(29, 60)]
+    g = make(pairs)
+    g = Graph(g.vertices.withColumn("is_mut", F.when(F.col("node_id") != 45, 1).otherwise(0)), g.edges)
+    rows, write = [], DS.cut
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(DS, "cut", counted)
+    got = groups(DS.anchored_balls(g, ratio=1.0, max_size=20, min_component=10), "anchor")
+    near = neighbours(pairs)
+
+    def ball(n):
+        held = {n}
+        for _ in range(3):
+            held |= {m for x in held for m in near[x]}
+        return sorted(held)
+
+    assert got == sorted(b for b in (ball(n) for n in near if n != 45) if 4 <= len(b) <= 20)
+    assert max(rows) <= 2 * len(pairs)
+
+
+def test_balls_of_single_nodes(make):
+    g = make([(1, 2), (2, 3), (2, 2)], nodes=[9])
+    g = Graph(g.vertices.withColumn("is_mut", F.lit(1)), g.edges)
+    got = DS.anchored_balls(g, ratio=1.0, min_size=1, max_size=2, min_component=1).collect()
+    assert [(r.component_id, r.anchor, r.node_id) for r in got] == [(9, 9, 9)]
