@@ -6,19 +6,30 @@ just reached the node. One round is a join with the edges and a bit-or
 aggregate, so 64 searches cost one row and no (source, target) pair is written.
 In an undirected graph the neighbours of level d lie on levels d-1, d and d+1,
 so two levels are all the state a round needs.
+
+A component of at most 64 nodes needs one word only: its edges are brought
+together and the same search runs on arrays, many components at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph, symmetric
 from tessella.operators.components import connected_components
-from tessella.runtime import cut, no_rows
+from tessella.runtime import cut, no_rows, ship
 
 # Rows of search state worked on at a time; more sources are done in batches.
 STATE_ROWS = 2_000_000_000
+# Nodes of a component up to which its searches are done in one task: the bits of a word.
+WORD = 64
+# Edges of such components held at a time in a task.
+STRETCH = 500_000
 
 
 def _slots(components: DataFrame) -> DataFrame:
@@ -64,17 +75,86 @@ def _search(start: DataFrame, sym: DataFrame, max_d: int | None) -> list[DataFra
     return levels
 
 
+def _levels(component: np.ndarray, u: np.ndarray, v: np.ndarray, max_d: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (node, d, n) of whole components of at most 64 nodes, given as edges."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u):]
+    home = np.empty(len(names), component.dtype)
+    home[i] = home[j] = component
+    order = np.argsort(home, kind="stable")
+    _, first, size = np.unique(home[order], return_index=True, return_counts=True)
+    slot = np.empty(len(names), np.uint64)
+    slot[order] = np.arange(len(names)) - np.repeat(first, size)
+    seen = np.left_shift(np.uint64(1), slot)
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    by = np.argsort(b, kind="stable")
+    a, starts = a[by], np.searchsorted(b[by], np.arange(len(names)))
+    cur, out, d = seen, [], 0
+    while max_d is None or d < max_d:
+        new = np.bitwise_or.reduceat(cur[a], starts) & ~seen
+        hit = np.flatnonzero(new)
+        if not len(hit):
+            break
+        d += 1
+        out.append((names[hit], np.full(len(hit), d, np.int32), np.bitwise_count(new[hit]).astype(np.int64)))
+        seen, cur = seen | new, new
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (names[:0], np.empty(0, np.int32), np.empty(0, np.int64))
+
+
+def _local_profile(edges: DataFrame, max_d: int | None) -> DataFrame:
+    """(node_id, d, n) from ``edges(component_id, u, v)`` of components of at most 64 nodes, ids being whole numbers."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush(last: bool) -> pa.RecordBatch:
+            c, u, v = (np.concatenate([part[k] for part in held]) for k in range(3))
+            end = len(c) if last else int(np.searchsorted(c, c[-1]))
+            held[:] = [(c[end:], u[end:], v[end:])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _levels(c[:end], u[:end], v[:end], max_d)], ["node_id", "d", "n"])
+
+        for b in batches:
+            held.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
+            count += b.num_rows
+            if count >= STRETCH and held[0][0][0] != held[-1][0][-1]:
+                yield flush(False)
+                count = len(held[0][0])
+        if count:
+            yield flush(True)
+
+    ship(edges.sparkSession)
+    placed = edges.repartition("component_id").sortWithinPartitions("component_id")
+    return placed.mapInArrow(run, f"node_id {kind}, d int, n long")
+
+
 def distance_profile(graph: Graph, max_d: int | None = None, components: DataFrame | None = None) -> DataFrame:
-    """(node_id, d, n): how many other nodes lie at each distance d >= 1 (up to max_d)."""
+    """(node_id, d, n): how many other nodes lie at each distance d >= 1 (up to max_d).
+
+    The ends of all edges are vertices. Components of more than 64 nodes, and
+    nodes that are not whole numbers, are searched in rounds.
+    """
     comps = components if components is not None else connected_components(graph)
+    edges = graph.edges.where("u <> v").select("u", "v")
+    local = None
+    if comps.schema["node_id"].dataType.simpleString() in ("bigint", "int"):
+        comps = cut(comps, "comps") if components is None else comps
+        sizes = cut(comps.groupBy("component_id").agg(F.count("*").alias("size")), "sizes")
+        far = cut(sizes.where(F.col("size") > WORD).select("component_id"), "far")
+        none = no_rows(far)
+        near = comps if none else comps.join(far, "component_id", "left_anti")
+        local = _local_profile(edges.join(near.select(F.col("node_id").alias("u"), "component_id"), "u").select("component_id", "u", "v"), max_d)
+        if none:
+            return cut(local, "profile")
+        comps = comps.join(far, "component_id", "left_semi")
     slots = _slots(comps)
-    sym = cut(symmetric(graph.edges.where("u <> v")).select("a", "b"), "sym")
-    parts = []
+    sym = cut(symmetric(edges).select("a", "b"), "sym")
+    parts = [] if local is None else [local.select("node_id", "d", F.col("n").alias("c"))]
     batches = _batches(slots)
     for i in range(batches):
         start = slots.where(F.pmod("word", F.lit(batches)) == i).select("node_id", "word", "mask")
         for d, level in enumerate(_search(start, sym, max_d), 1):
-            parts.append(level.select("node_id", F.lit(d).alias("d"), F.bit_count("mask").alias("c")))
+            parts.append(level.select("node_id", F.lit(d).alias("d"), F.bit_count("mask").cast("long").alias("c")))
     if not parts:
         return graph.vertices.select("node_id", F.lit(1).alias("d"), F.lit(0).cast("long").alias("n")).limit(0)
     out = parts[0]

@@ -317,3 +317,48 @@ def test_balls_of_single_nodes(make):
     g = Graph(g.vertices.withColumn("is_mut", F.lit(1)), g.edges)
     got = DS.anchored_balls(g, ratio=1.0, min_size=1, max_size=2, min_component=1).collect()
     assert [(r.component_id, r.anchor, r.node_id) for r in got] == [(9, 9, 9)]
+
+
+def test_near_ids_need_no_rounds(make, monkeypatch):
+    """Components within a stretch are joined there; only what meets across stretches goes through rounds."""
+    asked, rounds = [], C._star_rounds
+
+    def counted(edges, max_rounds):
+        asked.append(edges.count())
+        return rounds(edges, max_rounds)
+
+    monkeypatch.setattr(C, "_star_rounds", counted)
+    pairs = [(10 * c + i, 10 * c + i + 1) for c in range(400) for i in range(6)] + [(3, 3990), (13, 2000)]
+    got = table(C.connected_components(make(pairs, nodes=[5000])))
+    want = {n: 10 * (n // 10) for p in pairs for n in p} | {5000: 5000}
+    want |= {3990 + i: 0 for i in range(7)} | {2000 + i: 10 for i in range(7)}
+    assert got == want and sum(asked) < 50
+
+
+def test_small_components_are_searched_without_rounds(make, monkeypatch):
+    pairs = [(0, i) for i in range(1, 64)] + [(100 + a, 100 + b) for a, b in random_graph(40, 60, 3)] + [(900, 901), (901, 902), (902, 900)]
+    far = [(1000 + i, 1001 + i) for i in range(70)]
+    g, both = make(pairs), make(pairs + far)
+    searched, search = [], D._search
+
+    def counted(start, *rest):
+        searched.append(start.count())
+        return search(start, *rest)
+
+    monkeypatch.setattr(D, "_search", counted)
+
+    def brute(edges, bound):
+        near, out = neighbours(edges), {}
+        for s in near:
+            level, seen, d = {s}, {s}, 0
+            while level and d < bound:
+                level, d = {m for x in level for m in near[x]} - seen, d + 1
+                seen |= level
+                if level:
+                    out[s, d] = len(level)
+        return out
+
+    for graph, edges, bound in ((g, pairs, None), (both, pairs + far, 5)):
+        got = D.distance_profile(graph, bound).collect()
+        assert len(got) == len({(r.node_id, r.d) for r in got}) and {(r.node_id, r.d): r.n for r in got} == brute(edges, bound or 99)
+    assert sum(searched) == 71
