@@ -2,8 +2,10 @@
 
 Two cores are linked when at most ``eps`` hops apart. With r = eps // 2 they
 then meet in a node (or, for odd eps, across an edge) within r hops of both, so
-it is enough to spread every core r layers outwards and take the components of
-that layered graph, whose size is about r times the edge count.
+it is enough to spread every core r layers outwards. A node of a layer stands
+for all cores that reach it; it is named by the least of those that the layer
+before hands it, and the others are linked with that one: about as many links
+between cores as there are edges, for each layer.
 """
 
 from __future__ import annotations
@@ -19,27 +21,22 @@ from tessella.operators.distances import distance_profile
 from tessella.runtime import cut
 
 
-def _at(layer: int, node: str):
-    return F.struct(F.lit(layer).alias("l"), F.col(node).alias("n"))
-
-
 def _core_groups(sym: DataFrame, cores: DataFrame, eps: int) -> DataFrame:
     """(node_id, label) for the cores: least core of the chain of cores within eps hops."""
     half, odd = divmod(eps, 2)
     step = sym.select("a", F.col("b").alias("_to"))
-    layer, links = cores.select("node_id"), []
-    for j in range(half):
-        out = layer.join(step, layer["node_id"] == step["a"]).select("node_id", "_to").unionAll(
-            layer.select("node_id", F.col("node_id").alias("_to")))
-        links.append(out.select(_at(j, "node_id").alias("u"), _at(j + 1, "_to").alias("v")))
-        layer = cut(out.select(F.col("_to").alias("node_id")).distinct(), "layer")
+    layer, links = cores.select("node_id", F.col("node_id").alias("rep")), []
+    for _ in range(half):
+        out = cut(layer.join(step, layer["node_id"] == step["a"]).select(F.col("_to").alias("node_id"), "rep").unionAll(layer), "reach")
+        least = cut(out.groupBy("node_id").agg(F.min("rep").alias("least")), "layer")
+        links.append(out.join(least, "node_id").where("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")))
+        layer = least.withColumnRenamed("least", "rep")
     if odd:
-        other = layer.select(F.col("node_id").alias("_to"))
-        across = layer.join(step, layer["node_id"] == step["a"]).join(other, "_to", "left_semi")
-        links.append(across.select(_at(half, "node_id").alias("u"), _at(half, "_to").alias("v")))
+        other = layer.select(F.col("node_id").alias("_to"), F.col("rep").alias("_rep"))
+        across = layer.join(step, layer["node_id"] == step["a"]).join(other, "_to")
+        links.append(across.select(F.col("rep").alias("u"), F.col("_rep").alias("v")))
     stars = component_edges(reduce(DataFrame.unionAll, links))
-    # Layer 0 holds only cores and sorts first, so the least node of a component is a core.
-    lab = stars.where("v.l = 0").select(F.col("v.n").alias("node_id"), F.col("u.n").alias("g"))
+    lab = stars.select(F.col("v").alias("node_id"), F.col("u").alias("g"))
     return cores.select("node_id").join(lab, "node_id", "left").select("node_id", F.coalesce("g", "node_id").alias("label"))
 
 

@@ -362,3 +362,18 @@ def test_small_components_are_searched_without_rounds(make, monkeypatch):
         got = D.distance_profile(graph, bound).collect()
         assert len(got) == len({(r.node_id, r.d) for r in got}) and {(r.node_id, r.d): r.n for r in got} == brute(edges, bound or 99)
     assert sum(searched) == 71
+
+
+def test_cores_are_linked_by_their_own_ids(make, monkeypatch):
+    """The groups of cores come from links between cores, not from a graph of (layer, node)."""
+    seen, edges = [], DB.component_edges
+
+    def kept(e, *rest):
+        seen.append(e)
+        return edges(e, *rest)
+
+    monkeypatch.setattr(DB, "component_edges", kept)
+    pairs = [(0, 1), (0, 2), (0, 3), (3, 4), (4, 5), (5, 6), (5, 7), (5, 8)]
+    got = {(r.node_id, r.cluster_id, r.core) for r in DB.dbscan(make(pairs, nodes=[20]), 2, 6).collect()}
+    assert got == {(0, 3, False), (1, 3, False), (2, 3, False), (3, 3, True), (4, 3, True), (5, 3, True), (6, 3, False), (7, 3, False), (8, 3, False), (20, None, False)}
+    assert {x for e in seen for r in e.collect() for x in (r.u, r.v)} <= {3, 4, 5}
