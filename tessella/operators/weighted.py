@@ -9,6 +9,8 @@ any more: a round is one join with the edges and one minimum per (src, node),
 and there are at most as many rounds as the longest bucket sequence of a source
 times the steps inside a bucket.
 
+A mean over components of few nodes is taken on arrays of all their pairs instead.
+
 Lengths use the absolute weight. An edge whose weight is null or NaN cannot be
 travelled; of repeated edges the shortest counts; self-loops do not matter. A
 source that is not a node of the graph reaches itself only.
@@ -16,22 +18,29 @@ source that is not a node of the graph reaches itself only.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph, symmetric
 from tessella.operators.components import connected_components
+from tessella.operators.small import NODES, gathered, on_whole, parted, stacks
 from tessella.runtime import cut, no_rows
 
 # (source, node) rows worked on at a time; more sources are done in batches.
 STATE_ROWS = 2_000_000_000
 
 
-def _arcs(graph: Graph, weight: str) -> DataFrame:
-    """(a, b, w) in both directions."""
+def _lengths(graph: Graph, weight: str) -> DataFrame:
+    """Edges (u, v, w) that can be travelled."""
     w = F.abs(F.col(weight).cast("double"))
     edges = graph.edges.where(F.col("u") != F.col("v")).select("u", "v", w.alias("w")).where("w is not null and not isnan(w)")
-    return cut(symmetric(edges.groupBy("u", "v").agg(F.min("w").alias("w"))), "arcs")
+    return edges.groupBy("u", "v").agg(F.min("w").alias("w"))
+
+
+def _arcs(graph: Graph, weight: str) -> DataFrame:
+    """(a, b, w) in both directions."""
+    return cut(symmetric(_lengths(graph, weight)), "arcs")
 
 
 def _width(arcs: DataFrame, delta: float | None) -> float:
@@ -67,21 +76,41 @@ def weighted_distances(graph: Graph, sources: DataFrame, weight: str = "weight",
     return _search(sources.select("node_id").distinct(), arcs, _width(arcs, delta))
 
 
-def mean_weighted_distance(graph: Graph, weight: str = "weight", delta: float | None = None, batches: int | None = None) -> DataFrame:
+def _local_means(component: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Columns node, minus its mean length to the others, of whole components."""
+    out = []
+    for nodes, c, i, j, rows in stacks(component, u, v):
+        k, n = nodes.shape
+        d = np.full((k, n, n), np.inf)
+        d[:, np.arange(n), np.arange(n)] = 0.0
+        np.minimum.at(d, (c, i, j), w[rows])
+        np.minimum.at(d, (c, j, i), w[rows])
+        for m in range(n):
+            np.minimum(d, d[:, :, m, None] + d[:, None, m, :], out=d)
+        # the nodes of a component reach each other, be it at infinite length
+        out.append((nodes, -d.sum(axis=2) / (n - 1)))
+    return gathered(out, [u.dtype, float])
+
+
+def mean_weighted_distance(graph: Graph, weight: str = "weight", delta: float | None = None, batches: int | None = None, small_nodes: int = NODES) -> DataFrame:
     """(node_id, avg_w_shortest_path_length): minus the mean length to the other nodes a node reaches, 0 if there are none.
 
-    Sources are done in ``batches``, by default as many as keep the
+    Components of more than ``small_nodes`` nodes, and nodes that are not whole numbers, are
+    searched by rounds. Their sources are done in ``batches``, by default as many as keep the
     (source, node) rows of a batch near STATE_ROWS; what a batch leaves is a row per source.
     """
-    arcs = _arcs(graph, weight)
-    width = _width(arcs, delta)
     nodes = graph.vertices.select("node_id")
-    if batches is None:
-        sizes = connected_components(graph).groupBy("component_id").agg(F.count("*").cast("double").alias("n"))
-        batches = max(1, int(-(-(sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) // STATE_ROWS)))
-    per = None
-    for i in range(batches):
-        paths = _search(nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == i), arcs, width)
-        means = cut(paths.where("src <> node_id").groupBy(F.col("src").alias("node_id")).agg((-F.avg("d")).alias("m")), "means")
-        per = means if per is None else per.unionAll(means)
+    near, rest = parted(Graph(nodes, cut(_lengths(graph, weight), "lengths")), nodes=small_nodes)
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    per = None if near is None else on_whole(near, _local_means, f"node_id {kind}, m double")
+    if rest is not None:
+        arcs = cut(symmetric(rest.edges), "arcs")
+        width = _width(arcs, delta)
+        if batches is None:
+            sizes = connected_components(rest).groupBy("component_id").agg(F.count("*").cast("double").alias("n"))
+            batches = max(1, int(-(-(sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) // STATE_ROWS)))
+        for i in range(batches):
+            paths = _search(rest.vertices.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == i), arcs, width)
+            means = cut(paths.where("src <> node_id").groupBy(F.col("src").alias("node_id")).agg((-F.avg("d")).alias("m")), "means")
+            per = means if per is None else per.unionAll(means)
     return nodes.join(per, "node_id", "left").select("node_id", (F.coalesce("m", F.lit(0.0)) + 0.0).alias("avg_w_shortest_path_length"))
