@@ -1,13 +1,18 @@
-"""Node and edge betweenness by level-synchronous dependency accumulation."""
+"""Node and edge betweenness by level-synchronous dependency accumulation.
+
+Components of few nodes run the same levels on arrays, from all their nodes at once.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
+from tessella.operators.small import NODES, gathered, on_whole, parted, stacks
 from tessella.runtime import cut, no_rows
 
 
@@ -49,17 +54,54 @@ def _pass(sources: DataFrame, arcs: DataFrame) -> list[DataFrame]:
     return flows
 
 
-def dependencies(graph: Graph, pivots: int | None = None, seed: int = 42, batches: int = 1) -> DataFrame:
+def _local_pass(component: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Columns v, w, c, ci of whole components, with all nodes as sources."""
+    out = []
+    for nodes, c, i, j, _ in stacks(component, u, v):
+        k, n = nodes.shape
+        near = np.zeros((k, n, n))
+        np.add.at(near, (c, i, j), 1.0)
+        np.add.at(near, (c, j, i), 1.0)
+        # rows are sources; a level holds the path counts of the nodes first reached on it
+        cur = np.broadcast_to(np.eye(n), (k, n, n))
+        unseen, levels = cur == 0, []
+        while cur.any():
+            levels.append(cur)
+            cur = np.matmul(cur, near) * unseen
+            unseen = unseen & (cur == 0)
+        delta, every, inner = np.zeros((k, n, n)), np.zeros((k, n, n)), np.zeros((k, n, n))
+        for d in range(len(levels) - 1, 0, -1):
+            share = np.divide(1.0 + delta, levels[d], out=np.zeros((k, n, n)), where=levels[d] > 0)
+            flow = np.matmul(levels[d - 1].transpose(0, 2, 1), share) * near
+            every += flow
+            if d > 1:
+                inner += flow
+            delta = levels[d - 1] * np.matmul(share, near)
+        at = np.nonzero(near)
+        out.append((nodes[at[0], at[1]], nodes[at[0], at[2]], every[at], inner[at]))
+    return gathered(out, [u.dtype, u.dtype, float, float])
+
+
+def dependencies(graph: Graph, pivots: int | None = None, seed: int = 42, batches: int = 1, small_nodes: int = NODES) -> DataFrame:
     """(v, w, c, ci) summed over sources.
 
     ``pivots`` keeps that many sources, picked by a seeded hash, instead of all;
-    ``batches`` works through the sources in turns to bound the state.
+    ``batches`` works through the sources in turns to bound the state. Components
+    of at most ``small_nodes`` nodes need no turns.
     """
+    flows: list[DataFrame] = []
+    if pivots is None:
+        near, rest = parted(graph, nodes=small_nodes)
+        if near is not None:
+            kind = near.schema["u"].dataType.simpleString()
+            flows.append(on_whole(near.select("component_id", "u", "v"), _local_pass, f"v {kind}, w {kind}, c double, ci double"))
+        if rest is None:
+            return cut(flows[0], "dep")
+        graph = rest
     nodes = graph.vertices.select("node_id")
     if pivots is not None:
         nodes = cut(nodes.orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(pivots), "pivots")
     arcs = cut(graph.sym().select("a", F.col("b").alias("_to")), "sym")
-    flows: list[DataFrame] = []
     for i in range(batches):
         part = nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == i) if batches > 1 else nodes
         flows += _pass(part, arcs)
