@@ -1,6 +1,7 @@
 """Current-flow closeness and betweenness, per connected component.
 
-A component small enough for one task is solved densely there. Larger ones are
+A component small enough for one task is solved densely there; those of few nodes
+are inverted together, many in a task. Larger ones are
 solved by conjugate gradients on a table with one row per (source, node), in
 which the sources are as many independent right-hand sides.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.graph import Graph, symmetric
 from tessella.operators.components import connected_components
+from tessella.operators.small import NODES, gathered, on_whole, parted, stacks
 from tessella.runtime import cut, no_rows
 
 # Nodes of a component up to which its dense inverse is formed in one task.
@@ -38,6 +40,24 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node_id": nodes, "flow_closeness": close, "flow_betweenness": between})
 
 
+def _local_flow(component: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Columns node, flow_closeness, flow_betweenness of whole components of equal sizes at a time."""
+    out = []
+    for nodes, c, i, j, _ in stacks(component, u, v):
+        k, n = nodes.shape
+        own = np.arange(n)
+        lap = np.zeros((k, n, n))
+        lap[c, i, j] = lap[c, j, i] = -1.0
+        lap[:, own, own] = -lap.sum(axis=2)
+        inv = np.linalg.inv(lap + 1.0 / n) - 1.0 / n
+        diag = inv[:, own, own]
+        close = 1.0 / (n * diag + diag.sum(axis=1, keepdims=True))
+        through = np.sort(inv[c, i] - inv[c, j], axis=1) @ (2.0 * np.arange(1, n + 1) - n - 1)
+        load = (np.bincount(c * n + i, through, k * n) + np.bincount(c * n + j, through, k * n)).reshape(k, n)
+        out.append((nodes, close, (load - (n - 1)) / ((n - 1) * (n - 2)) if n > 2 else np.zeros((k, n))))
+    return gathered(out, [u.dtype, float, float])
+
+
 def _potentials(nodes: DataFrame, arcs: DataFrame, tol: float = 1e-11) -> DataFrame:
     """(component_id, src, node_id, x): column ``src`` of the Laplacian pseudo-inverse.
 
@@ -80,22 +100,35 @@ def _solved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return close.join(load, "node_id").select("node_id", "flow_closeness", between.alias("flow_betweenness"))
 
 
-def flow_measures(graph: Graph, dense_nodes: int = DENSE_NODES) -> DataFrame:
+def flow_measures(graph: Graph, dense_nodes: int = DENSE_NODES, small_nodes: int = NODES) -> DataFrame:
     """(node_id, flow_closeness, flow_betweenness): both measures of every component.
 
     Closeness is 1 / (sum of effective resistances); betweenness is normalised
-    by (n - 1)(n - 2) / 2. Isolated nodes get null and 0.
+    by (n - 1)(n - 2) / 2. Isolated nodes get null and 0. Components of at most
+    ``small_nodes`` and ``dense_nodes`` nodes go many to a task, those of at most
+    ``dense_nodes`` one by one.
     """
     g = Graph(graph.vertices, cut(graph.edges.where("u <> v").select("u", "v"), "edges"))
     comps = cut(connected_components(g), "comps")
+    kind = graph.vertices.schema["node_id"].dataType.simpleString()
+    schema = f"node_id {kind}, flow_closeness double, flow_betweenness double"
+    near, rest = parted(g, comps, min(small_nodes, dense_nodes))
+    out = None if near is None else on_whole(near, _local_flow, schema)
+    if rest is not None:
+        more = _by_component(rest, comps.join(rest.vertices, "node_id", "left_semi"), dense_nodes, schema)
+        out = more if out is None else out.unionByName(more)
+    return graph.vertices.select("node_id").join(out, "node_id", "left").select(
+        "node_id", "flow_closeness", F.coalesce("flow_betweenness", F.lit(0.0)).alias("flow_betweenness"))
+
+
+def _by_component(g: Graph, comps: DataFrame, dense_nodes: int, schema: str) -> DataFrame:
+    """The measures of the nodes that have edges, one component in a task or by conjugate gradients."""
     sizes = cut(comps.groupBy("component_id").agg(F.count("*").cast("int").alias("n")).where("n > 1"), "sizes")
     edges = g.edges.join(comps.withColumnRenamed("node_id", "u"), "u")
     small = edges.join(sizes.where(F.col("n") <= dense_nodes).select("component_id"), "component_id", "left_semi")
-    kind = graph.vertices.schema["node_id"].dataType.simpleString()
-    out = small.groupBy("component_id").applyInPandas(_dense, f"node_id {kind}, flow_closeness double, flow_betweenness double")
+    out = small.groupBy("component_id").applyInPandas(_dense, schema)
     large = sizes.where(F.col("n") > dense_nodes)
     if not no_rows(large):
         nodes = cut(comps.join(large, "component_id").join(g.degrees(), "node_id"), "nodes")
         out = out.unionByName(_solved(nodes, edges.join(large.select("component_id"), "component_id", "left_semi").select("u", "v")))
-    return graph.vertices.select("node_id").join(out, "node_id", "left").select(
-        "node_id", "flow_closeness", F.coalesce("flow_betweenness", F.lit(0.0)).alias("flow_betweenness"))
+    return out
