@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
 from tessella.operators.local import edge_triangles, triangle_list
+from tessella.operators.small import on_whole
 from tessella.runtime import cut
 
 
@@ -28,6 +29,24 @@ def _maximal_sets(near: dict) -> list[list]:
     return out
 
 
+def _at_centres(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[pa.Array]:
+    """Columns a, rest: maximal cliques of the links (b, c) at every centre, centres one after the other."""
+    ends = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+    left, right, at, found = b.tolist(), c.tolist(), [], []
+    for i, j in zip(ends, ends[1:]):
+        if j - i == 1:
+            sets = [[left[i], right[i]]]
+        else:
+            near: dict = {}
+            for x, y in zip(left[i:j], right[i:j]):
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+            sets = _maximal_sets(near)
+        found += [sorted(s) for s in sets]
+        at += [i] * len(sets)
+    return [pa.array(a[at]), pa.array(found, pa.list_(pa.array(b).type))]
+
+
 def maximal_cliques(graph: Graph) -> DataFrame:
     """(members array) of every maximal clique of two or more nodes.
 
@@ -38,16 +57,7 @@ def maximal_cliques(graph: Graph) -> DataFrame:
     tri = cut(triangle_list(graph), "triangles")
     kind = graph.vertices.schema["node_id"].dataType.simpleString()
 
-    def at_centre(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for b, c in zip(pdf.b, pdf.c):
-            near.setdefault(b, set()).add(c)
-            near.setdefault(c, set()).add(b)
-        centre = pdf.a.iloc[0]
-        found = [sorted(s) for s in _maximal_sets(near)]
-        return pd.DataFrame({"a": [centre] * len(found), "rest": found})
-
-    local = cut(tri.groupBy("a").applyInPandas(at_centre, f"a {kind}, rest array<{kind}>"), "cliques")
+    local = cut(on_whole(tri.select("a", "b", "c"), _at_centres, f"a {kind}, rest array<{kind}>"), "cliques")
     pair = local.select("a", "rest", F.explode("rest").alias("p")).select("a", "rest", F.least("a", "p").alias("x"), F.greatest("a", "p").alias("y"))
     above = tri.select(F.col("a").alias("z"), F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"))
     covered = pair.join(above, ["x", "y"]).groupBy("a", "rest", "z").agg(F.count("*").alias("n")).where(F.col("n") == F.size("rest")).select("a", "rest").distinct()
