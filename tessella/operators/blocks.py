@@ -5,17 +5,21 @@ joins two nodes at most one level apart; walking both ends up to where they
 meet passes the tree edges of one cycle, and edges sharing a cycle share a
 block. The walks go level by level too, with equal walks merged, and the
 components of the "same cycle" links are the blocks.
+
+Components of few nodes are searched depth first instead, many in a task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
 from tessella.operators.components import component_edges, connected_components
+from tessella.operators.small import NODES, on_whole, parted
 from tessella.runtime import cut, no_rows
 
 
@@ -38,11 +42,70 @@ def bfs_forest(graph: Graph) -> list[DataFrame]:
         prev, cur = cur, nxt
 
 
-def blocks(graph: Graph) -> DataFrame:
+def _local_blocks(component: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Columns u, v, block_id of the edges of whole components."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    by = np.argsort(at, kind="stable")
+    start = np.searchsorted(at[by], np.arange(len(names) + 1)).tolist()
+    edge, far = (by % len(u)).tolist(), np.concatenate([at[len(u):], at[: len(u)]])[by].tolist()
+    left, right = at[: len(u)].tolist(), at[len(u):].tolist()
+    block, todo, met, low, clock = [0] * len(u), start[:-1], [0] * len(names), [0] * len(names), 0
+    for root in range(len(names)):  # in the order of their names, so a search begins at the least of its component
+        if met[root]:
+            continue
+        clock += 1
+        met[root] = low[root] = clock
+        path, via, held = [root], [-1], []
+        while path:
+            x, k = path[-1], todo[path[-1]]
+            if k < start[x + 1]:
+                todo[x] = k + 1
+                e, y = edge[k], far[k]
+                if e == via[-1]:
+                    continue
+                if not met[y]:
+                    clock += 1
+                    met[y] = low[y] = clock
+                    path.append(y)
+                    via.append(e)
+                    held.append(e)
+                elif met[y] < met[x]:
+                    low[x] = min(low[x], met[y])
+                    held.append(e)
+                continue
+            path.pop()
+            e = via.pop()
+            if not path:
+                continue
+            top = path[-1]
+            low[top] = min(low[top], low[x])
+            if low[x] >= met[top]:  # a block hangs from ``top``
+                first = held.index(e)
+                least = min(z for f in held[first:] for z in (left[f], right[f]) if z != top)
+                for f in held[first:]:
+                    block[f] = least
+                del held[first:]
+    return [u, v, names[block]]
+
+
+def blocks(graph: Graph, small_nodes: int = NODES) -> DataFrame:
     """(u, v, block_id): the biconnected component of every edge.
 
-    The id is the least of the block's tree edges, each named by its lower end.
+    The id is the least of the block's tree edges, each named by its lower end:
+    the least node but the one nearest to the least node of the component.
+    Components of more than ``small_nodes`` nodes, and nodes that are not whole
+    numbers, go through rounds.
     """
+    near, rest = parted(graph, nodes=small_nodes)
+    kind = graph.vertices.schema["node_id"].dataType.simpleString()
+    local = None if near is None else on_whole(near.select("component_id", "u", "v"), _local_blocks, f"u {kind}, v {kind}, block_id {kind}")
+    if rest is None:
+        return local
+    return _walked(rest) if local is None else local.unionAll(_walked(rest))
+
+
+def _walked(graph: Graph) -> DataFrame:
+    """(u, v, block_id) by walks up a breadth-first forest."""
     levels = bfs_forest(graph)
     tree = cut(reduce(DataFrame.unionAll, [l.select("node_id", "parent", F.lit(d).alias("depth")) for d, l in enumerate(levels)]), "tree")
     up = tree.select(F.col("node_id").alias("n"), F.col("parent").alias("p"), F.col("depth").alias("dn"))
