@@ -13,23 +13,19 @@ together and the same search runs on arrays, many components at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph, symmetric
 from tessella.operators.components import connected_components
-from tessella.runtime import cut, no_rows, ship
+from tessella.operators.small import on_whole
+from tessella.runtime import cut, no_rows
 
 # Rows of search state worked on at a time; more sources are done in batches.
 STATE_ROWS = 2_000_000_000
 # Nodes of a component up to which its searches are done in one task: the bits of a word.
 WORD = 64
-# Edges of such components held at a time in a task.
-STRETCH = 500_000
 
 
 def _slots(components: DataFrame) -> DataFrame:
@@ -104,28 +100,7 @@ def _levels(component: np.ndarray, u: np.ndarray, v: np.ndarray, max_d: int | No
 def _local_profile(edges: DataFrame, max_d: int | None) -> DataFrame:
     """(node_id, d, n) from ``edges(component_id, u, v)`` of components of at most 64 nodes, ids being whole numbers."""
     kind = edges.schema["u"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def flush(last: bool) -> pa.RecordBatch:
-            c, u, v = (np.concatenate([part[k] for part in held]) for k in range(3))
-            end = len(c) if last else int(np.searchsorted(c, c[-1]))
-            held[:] = [(c[end:], u[end:], v[end:])]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _levels(c[:end], u[:end], v[:end], max_d)], ["node_id", "d", "n"])
-
-        for b in batches:
-            held.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
-            count += b.num_rows
-            if count >= STRETCH and held[0][0][0] != held[-1][0][-1]:
-                yield flush(False)
-                count = len(held[0][0])
-        if count:
-            yield flush(True)
-
-    ship(edges.sparkSession)
-    placed = edges.repartition("component_id").sortWithinPartitions("component_id")
-    return placed.mapInArrow(run, f"node_id {kind}, d int, n long")
+    return on_whole(edges.select("component_id", "u", "v"), lambda c, u, v: list(_levels(c, u, v, max_d)), f"node_id {kind}, d int, n long")
 
 
 def distance_profile(graph: Graph, max_d: int | None = None, components: DataFrame | None = None) -> DataFrame:
@@ -202,28 +177,46 @@ def global_efficiency(graph: Graph, profile: DataFrame | None = None) -> DataFra
     return h.select((F.col("s") / (n * (n - 1)) if n > 1 else F.lit(0.0)).alias("global_efficiency"))
 
 
-def local_efficiency(graph: Graph) -> DataFrame:
+def _ego_closeness(c: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Columns node_id, h: the summed closeness in the neighbourhood of every centre, from its whole list of links (c, u, v)."""
+    centres, at = np.unique(c, return_inverse=True)
+    names, to = np.unique(np.concatenate([u, v]), return_inverse=True)
+    # a neighbour is a node of its own at every centre
+    x, d, n = _levels(at, at * len(names) + to[: len(u)], at * len(names) + to[len(u):], None)
+    return [centres, np.bincount(x // len(names), n / d, len(centres))]
+
+
+def local_efficiency(graph: Graph, small_nodes: int = WORD) -> DataFrame:
     """One row: mean over nodes of the efficiency of the subgraph of their neighbours.
 
-    The neighbourhoods are laid side by side as one graph whose nodes are
-    (centre, neighbour) and whose edges are the triangles at the centre.
+    Neighbourhoods of at most ``small_nodes`` (up to 64) nodes that are whole
+    numbers are searched on arrays. The others are laid side by side as one graph whose nodes
+    are (centre, neighbour) and whose edges are the triangles at the centre.
     """
     from tessella.operators.local import triangle_list
 
     t = cut(triangle_list(graph), "triangles")
+    degrees = cut(graph.degrees(), "degrees")
 
     def at(centre: str, x: str, y: str):
-        return F.struct(
-            F.struct(F.col(centre).alias("c"), F.least(x, y).alias("n")).alias("u"),
-            F.struct(F.col(centre).alias("c"), F.greatest(x, y).alias("n")).alias("v"),
-        )
-
-    e = t.select(F.explode(F.array(at("a", "b", "c"), at("b", "a", "c"), at("c", "a", "b"))).alias("e")).select("e.*")
+        return F.struct(F.col(centre).alias("c"), F.col(x).alias("u"), F.col(y).alias("v"))
+
+    links = t.select(F.explode(F.array(at("a", "b", "c"), at("b", "a", "c"), at("c", "a", "b"))).alias("e")).select("e.*")
+    kind = graph.vertices.schema["node_id"].dataType.simpleString()
+    most = min(small_nodes, WORD) if kind in ("bigint", "int") else 0
+    hubs = cut(degrees.where(F.col("deg") > most).select(F.col("node_id").alias("c")), "hubs")
+    none = most > 0 and no_rows(hubs)
+    per = on_whole(links if none else links.join(hubs, "c", "left_anti"), _ego_closeness, f"node_id {kind}, h double") if most else None
+    if not none:
+        def of(x):
+            return F.struct(F.col("c"), x.alias("n"))
+
+        egos = Graph.from_edges(links.join(hubs, "c", "left_semi").select(of(F.least("u", "v")).alias("u"), of(F.greatest("u", "v")).alias("v")))
+        far = harmonic(egos).groupBy(F.col("node_id.c").alias("node_id")).agg(F.sum("closeness_centrality").alias("h"))
+        per = far if per is None else per.unionAll(far)
     n = graph.vertices.count()
-    egos = Graph.from_edges(e)
-    per = harmonic(egos).groupBy(F.col("node_id.c").alias("node_id")).agg(F.sum("closeness_centrality").alias("h"))
     d = F.col("deg")
-    eff = per.join(graph.degrees(), "node_id").select((F.col("h") / (d * (d - 1))).alias("x"))
+    eff = per.join(degrees, "node_id").select((F.col("h") / (d * (d - 1))).alias("x"))
     return eff.agg((F.coalesce(F.sum("x"), F.lit(0.0)) / max(n, 1)).alias("local_efficiency"))
 
 
