@@ -595,3 +595,26 @@ def test_hashes_are_stable():
     h, starts, stops, first = word_hashes(data, np.array([0, 5, 9]), lower=True)
     assert h[0] == h[1] and h[0] != h[2] and list(starts) == [0, 3, 7] and list(stops) == [2, 5, 9] and list(first) == [0, 2, 3]
     assert sequence_hash(h[:1]) != sequence_hash(h[:2]) and hashlib.sha256(h.tobytes()).hexdigest()
+
+
+def test_sets_the_roots_have_joined_are_not_compared_again(spark, monkeypatch):
+    from tessella.llm import near_dups as ND
+
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    rows = []
+    for i in range(120):  # near copies of one text, a word changed in each
+        copy = list(text)
+        copy[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    counted, alike = [], ND._alike
+
+    def told(pairs, reps, threshold):
+        counted.append(pairs.count())
+        return alike(pairs, reps, threshold)
+
+    monkeypatch.setattr(ND, "_alike", told)
+    got = ND.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 120
+    # a set meets one other in each of the roots' nodes; without what is joined there, 84 in all
+    assert 0 < sum(counted) <= 120 * ND.TREES * ND.CHILDREN
