@@ -132,3 +132,23 @@ def test_settled_components_leave_the_rounds(make, monkeypatch):
     assert out.count() == 30 and out.select("node_id").distinct().count() == 30
     sizes = [x.count() for x in seen]
     assert sizes[0] == 72 and len(sizes) > 1 and sizes[-1] < 72
+
+
+def test_matrix_products_of_small_components(spark, make):
+    from tessella.operators import mcl as M
+
+    g = make([*clumps(5, 12, 7), (0, 0), (9000, 9000)], nodes=(9999,))
+    params = {"expansion": 2, "inflation": 2, "prune": 0.05}
+    want = rows(M.markov_matrix(g, **params, small=0).where("val > 0"), "row", "col")
+    close(rows(M.markov_matrix(g, **params, small=5).where("val > 0"), "row", "col"), want)  # some by joins
+    with pytest.raises(RuntimeError):
+        M.markov_matrix(g, **params, max_iter=2)
+
+
+def test_communities_of_small_components(spark, make):
+    from tessella.operators import modularity as Q
+
+    pairs = clumps(6, 8) + [(8000, 8000)]
+    g = make(pairs, nodes=(9999,), weights=[1 + (a * 7 + b) % 3 for a, b in pairs])
+    want = rows(Q.louvain(g, "weight", small=0, max_levels=2, max_rounds=3), "node_id")
+    assert rows(Q.louvain(g, "weight", small=5, max_levels=2, max_rounds=3), "node_id") == want
