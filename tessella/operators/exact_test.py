@@ -6,26 +6,34 @@ draws are dealt to the values one after the other, each time by a hypergeometric
 law, and a row (stratum, k, draws left, sum so far) carries a probability. All
 strata and draw counts go through the same round side by side, so the number of
 rounds is the number of distinct values of the richest stratum. The laws of a
-cluster's strata are then added pairwise, half of them in each round. Clusters
-with the same draws from the same strata share one law.
+cluster's strata are then added: as arrays where the laws of all strata fit into
+a task and the sums of a cluster span little, else pairwise by joins, half of
+the strata in each round. Clusters with the same draws from the same strata
+share one law.
 
 All terms are positive, so small p-values keep their digits: there is no least
-p-value of 1 / (permutations + 1). Rows grow with draws times sums of a stratum
-and, in the last rounds, with the square of a cluster's sums; they are ordinary
-rows, no law is held in one task. Nothing is drawn and no seed is needed.
+p-value of 1 / (permutations + 1). Rows grow with draws times sums of a stratum;
+only the joins also have rows that grow with the square of a cluster's sums.
+Nothing is drawn and no seed is needed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.laws import hypergeometric
-from tessella.operators.enrichment import enrichment_ratio
+from tessella.operators.enrichment import POOL_ENTRIES, enrichment_ratio
 from tessella.runtime import cut, no_rows
 
+# Span of a cluster's sums up to which its law is one array.
+LAW_SPAN = 16_384
+
 
 def stratum_laws(pools: DataFrame, draws: DataFrame) -> DataFrame:
     """(stratum, k, s, p): law of the sum of ``k`` draws, for every row of ``draws(stratum, k)``.
@@ -66,7 +74,47 @@ def sum_laws(parts: DataFrame, laws: DataFrame) -> DataFrame:
     return state.select("law", "s", "p")
 
 
-def exact_test(clusters: DataFrame, strata: DataFrame, statistic: str = "sum", min_sum: float | None = 5, min_nodes: int = 1) -> DataFrame:
+def _tails_on_arrays(asked: DataFrame, laws: DataFrame, span: int) -> DataFrame:
+    """(law, obs, mean, p_value) of ``asked(law, obs, strata)``; nulls where a sum spans more or a stratum has no law.
+
+    All of ``laws`` goes to every task.
+    """
+    spark = asked.sparkSession
+    table = {}
+    for (stratum, k), rows in laws.toPandas().groupby(["stratum", "k"], sort=False):
+        low, width = int(rows["s"].min()), int(rows["s"].max() - rows["s"].min()) + 1
+        if width <= span:
+            dense = np.zeros(width)
+            dense[rows["s"].to_numpy() - low] = rows["p"]
+        table[stratum, int(k)] = (low, dense) if width <= span else None
+    shared = spark.sparkContext.broadcast(table)
+
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, last, low, law, over, mean = shared.value, None, 0, None, None, 0.0
+        for pdf in batches:
+            out = []
+            for name, obs, parts in zip(pdf["law"], pdf["obs"], pdf["strata"]):
+                if name != last:
+                    last, law = name, None
+                    own = [known.get((x["stratum"], int(x["k"]))) for x in parts]
+                    if all(own) and sum(len(p) for _, p in own) <= span:
+                        low, law = own[0]
+                        for more, p in own[1:]:
+                            low, law = low + more, np.convolve(law, p)
+                        over = law[::-1].cumsum()[::-1]
+                        mean = float((low + np.arange(len(law))) @ law)
+                if law is None:
+                    out.append((name, obs, None, None))
+                elif obs < low + len(law):
+                    out.append((name, obs, mean, min(1.0, float(over[max(obs - low, 0)]))))
+            yield pd.DataFrame(out, columns=["law", "obs", "mean", "p_value"])
+
+    together = asked.repartition("law").sortWithinPartitions("law")
+    return together.mapInPandas(tails, "law string, obs long, mean double, p_value double")
+
+
+def exact_test(clusters: DataFrame, strata: DataFrame, statistic: str = "sum", min_sum: float | None = 5, min_nodes: int = 1,
+               pool_entries: int = POOL_ENTRIES, law_span: int = LAW_SPAN) -> DataFrame:
     """Exact upper tail of every cluster's sum (or mean), with the columns of the permutation test.
 
     ``clusters(cluster_id, node_id)``, ``strata(node_id, stratum, value)`` with
@@ -87,12 +135,21 @@ def exact_test(clusters: DataFrame, strata: DataFrame, statistic: str = "sum", m
     per = cut(per.withColumn("law", F.sha2(F.to_json("strata"), 256)), "tested")
     parts = cut(per.dropDuplicates(["law"]).select("law", F.posexplode("strata").alias("i", "part")).select("law", "i", "part.stratum", "part.k"), "parts")
     pools = strata.groupBy("stratum", F.col("value").cast("long").alias("value")).agg(F.count("*").alias("c"))
-    laws = cut(sum_laws(parts, stratum_laws(pools, parts)), "laws")
-    means = laws.groupBy("law").agg(F.sum(F.col("s") * F.col("p")).alias("mean"))
-    asked = per.select("law", "obs").distinct()
-    tails = asked.join(laws, "law").where("s >= obs").groupBy("law", "obs").agg(F.least(F.lit(1.0), F.sum("p")).alias("p_value"))
+    laws = cut(stratum_laws(pools, parts), "laws")
+    done = None
+    if laws.count() <= pool_entries:
+        told = cut(_tails_on_arrays(per.select("law", "obs", "strata").dropDuplicates(["law", "obs"]), laws, law_span), "tails")
+        done, far = told.where("p_value is not null"), cut(told.where("p_value is null").select("law").distinct(), "far")
+        parts = parts.join(far, "law", "left_semi")
+    if done is None or not no_rows(far):
+        asked = per.select("law", "obs").distinct()
+        sums = cut(sum_laws(cut(parts, "parts"), laws), "sums")
+        means = sums.groupBy("law").agg(F.sum(F.col("s") * F.col("p")).alias("mean"))
+        tails = asked.join(sums, "law").where("s >= obs").groupBy("law", "obs").agg(F.least(F.lit(1.0), F.sum("p")).alias("p_value"))
+        rest = means.join(tails, "law").select("law", "obs", "mean", "p_value")
+        done = rest if done is None else done.unionAll(rest)
     scale = F.col("size") if statistic == "mean" else F.lit(1)
     obs, exp = F.col("obs") / scale, F.col("mean") / scale
-    return per.join(means, "law").join(tails, ["law", "obs"]).select(
+    return per.join(done, ["law", "obs"]).select(
         "cluster_id", F.col("size").alias("cluster_size"), obs.alias(f"observed_{statistic}"), exp.alias(f"expected_{statistic}"),
         enrichment_ratio(obs, exp).alias("enrichment_score"), "p_value")
