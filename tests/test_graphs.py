@@ -377,3 +377,38 @@ def test_cores_are_linked_by_their_own_ids(make, monkeypatch):
     got = {(r.node_id, r.cluster_id, r.core) for r in DB.dbscan(make(pairs, nodes=[20]), 2, 6).collect()}
     assert got == {(0, 3, False), (1, 3, False), (2, 3, False), (3, 3, True), (4, 3, True), (5, 3, True), (6, 3, False), (7, 3, False), (8, 3, False), (20, None, False)}
     assert {x for e in seen for r in e.collect() for x in (r.u, r.v)} <= {3, 4, 5}
+
+
+def test_components_of_strings_are_joined_in_stretches(spark, monkeypatch):
+    from tessella.operators import components as C
+
+    r, n = random.Random(9), 300
+    pairs = [tuple(r.sample(range(n), 2)) for _ in range(260)]
+    name = lambda k: f"{'é' if k % 7 == 0 else 'z' if k % 3 else 'Z'}{k}"
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs] + [(name(1), name(1))], "u string, v string").repartition(3)
+    root = {k: k for k in range(n)}
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for a in {x for p in pairs for x in p}:
+        groups.setdefault(root[a], []).append(name(a))
+    want = {(min(g, key=str.encode), x) for g in groups.values() for x in g if x != min(g, key=str.encode)}
+    seen = []
+    monkeypatch.setattr(C, "_star_rounds", lambda e, k, f=C._star_rounds: seen.append(e.count()) or f(e, k))
+    got = {(e.u, e.v) for e in C.component_edges(edges).collect()}
+    assert got == want and max(seen, default=0) < len(pairs) / 2
+
+
+def test_pajek_in_several_files(spark, tmp_path, make):
+    from tessella.sources.graphs import read_pajek, write_pajek
+
+    pairs = [(k, k + 1) for k in range(0, 90, 3)]
+    g = make(pairs, nodes=(999,), weights=[k / 4 for k in range(30)])
+    write_pajek(g, str(tmp_path / "net"), lines=20)
+    files = sorted((tmp_path / "net").glob("part-*"))
+    assert len(files) > 2 and all(f.read_text().count("*Edges") for f in files if f.stat().st_size)
+    back = read_pajek(spark, str(tmp_path / "net"))
+    number = lambda df: sorted((float(r.weight), *sorted((int(r.u), int(r.v)))) for r in df.collect())
+    assert number(back.edges) == number(g.edges)
+    assert {int(r.node_id) for r in back.vertices.collect()} == {r.node_id for r in g.vertices.collect()}
