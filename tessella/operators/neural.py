@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
+from tessella.runtime import cut
 
 
 def neighbour_mean(graph: Graph, features: DataFrame) -> DataFrame:
@@ -59,10 +59,22 @@ def skip_concat(graph: Graph, features: DataFrame, layers: list[tuple[np.ndarray
     return cur
 
 
-def mean_readout(features: DataFrame, key: str = "graph_id") -> DataFrame:
-    """(key, vec): mean feature array per graph, combined before the shuffle."""
-    sums = features.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("s"), F.count("*").alias("n"))
-    return sums.select(key, F.transform("s", lambda x: x / F.col("n")).alias("vec"))
+def mean_readout(features: DataFrame, key: str = "graph_id", width: int | None = None) -> DataFrame:
+    """(key, vec): mean feature array per graph, combined before the shuffle.
+
+    Every place of the array is a plain sum of its own. ``width`` is the length of
+    the arrays; without it the features are written and a row is looked at.
+    Arrays of another length and cells without a value are refused.
+    """
+    if width is None:
+        features = cut(features.select(key, "x"), "features")
+        one = features.select(F.size("x").alias("n")).first()
+        width = one["n"] if one else 0
+    sums = features.groupBy(key).agg(
+        F.count("*").alias("n"), F.count(F.when((F.size("x") == width) & F.forall("x", lambda v: v.isNotNull()), 1)).alias("sound"),
+        *[F.sum(F.get("x", F.lit(k))).alias(f"s{k}") for k in range(width)])
+    cells = F.array(*[F.col(f"s{k}") / F.col("n") for k in range(width)]).cast("array<double>")
+    return sums.select(key, F.when(F.col("sound") == F.col("n"), cells).otherwise(F.raise_error(F.lit(f"features are not arrays of {width} numbers"))).alias("vec"))
 
 
 def bilinear_score(df: DataFrame, w: np.ndarray, left: str = "x", right: str = "vec", out: str = "score") -> DataFrame:
