@@ -20,8 +20,12 @@ def neighbour_mean(graph: Graph, features: DataFrame) -> DataFrame:
     """(node_id, x, nb): own features and the mean over neighbours (zeros without any).
 
     Sums are divided once, so features that are whole numbers have exact means in any order of rows.
+    Features are read three times and therefore written first.
     """
-    x = features.select("node_id", "x")
+    return _neighbour_mean(graph, cut(features.select("node_id", "x"), "features"))
+
+
+def _neighbour_mean(graph: Graph, x: DataFrame) -> DataFrame:
     one = x.select(F.size("x").alias("n")).first()
     width = one["n"] if one else 0
     near = graph.sym().select("a", "b").join(x.toDF("b", "xb"), "b")
@@ -46,15 +50,23 @@ def _dense(w_self: np.ndarray, w_near: np.ndarray, bias: np.ndarray, relu: bool)
 
 def sage_layer(graph: Graph, features: DataFrame, w_self: np.ndarray, w_near: np.ndarray, bias: np.ndarray, relu: bool = True) -> DataFrame:
     """(node_id, x): x W_self + mean of neighbours W_near + bias."""
+    return _layer(graph, cut(features.select("node_id", "x"), "features"), w_self, w_near, bias, relu)
+
+
+def _layer(graph: Graph, x: DataFrame, w_self: np.ndarray, w_near: np.ndarray, bias: np.ndarray, relu: bool = True) -> DataFrame:
     f = _dense(np.asarray(w_self), np.asarray(w_near), np.asarray(bias), relu)
-    return neighbour_mean(graph, features).select("node_id", f("x", "nb").alias("x"))
+    return _neighbour_mean(graph, x).select("node_id", f("x", "nb").alias("x"))
 
 
 def skip_concat(graph: Graph, features: DataFrame, layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Stacked layers, each reading the input and all earlier outputs side by side."""
+    """Stacked layers, each reading the input and all earlier outputs side by side.
+
+    What a layer reads is written once, so that no layer makes those before it again.
+    """
     cur = features.select("node_id", "x")
     for w_self, w_near, bias in layers:
-        new = sage_layer(graph, cur, w_self, w_near, bias).withColumnRenamed("x", "y")
+        cur = cut(cur, "layer")
+        new = _layer(graph, cur, w_self, w_near, bias).withColumnRenamed("x", "y")
         cur = cur.join(new, "node_id").select("node_id", F.concat("x", "y").alias("x"))
     return cur
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import neural as NN
 
@@ -22,3 +23,18 @@ def test_readout_is_summed_by_hash(spark):
     with pytest.raises(Exception, match="arrays of 2 numbers"):
         NN.mean_readout(spark.createDataFrame([(1, 1, [1.0, 2.0]), (2, 1, [1.0])], x.schema), width=2).collect()
     assert NN.mean_readout(x.limit(0)).collect() == []
+
+
+def test_layers_make_their_features_once(spark, make):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def told(n):
+        seen.add(1)
+        return [float(n), 1.0]
+
+    g = make([(i, i + 1) for i in range(19)])
+    x = g.vertices.select("node_id", told("node_id").alias("x"))
+    w1, w2, b = np.ones((2, 2)), np.ones((4, 2)), np.zeros(2)
+    assert NN.skip_concat(g, x, [(w1, w1, b), (w2, w2, b)]).count() == 20
+    assert seen.value == 20
