@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.graph import Graph
 from tessella.operators import neural as NN
 
 
@@ -38,3 +39,14 @@ def test_layers_make_their_features_once(spark, make):
     w1, w2, b = np.ones((2, 2)), np.ones((4, 2)), np.zeros(2)
     assert NN.skip_concat(g, x, [(w1, w1, b), (w2, w2, b)]).count() == 20
     assert seen.value == 20
+
+
+def test_one_attribute_of_edges_is_chosen_by_hash(spark, monkeypatch):
+    import tessella.graph as G
+
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, label: plans.append(plan(df)) or cut(df, label))
+    rows = [("b", "a", 1.0), ("a", "b", 3.0), ("a", "b", None), ("c", "a", None), (None, "a", 4.0), ("d", "c", float("nan")), ("c", "d", 2.0)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "u string, v string, weight double"), attrs=("weight",))
+    assert "SortAggregate" not in plans[0]
+    assert sorted((r.u, r.v, str(r.weight)) for r in g.edges.collect()) == [("a", "b", "3.0"), ("a", "c", "None"), ("c", "d", "nan")]
