@@ -50,3 +50,44 @@ def test_one_attribute_of_edges_is_chosen_by_hash(spark, monkeypatch):
     g = Graph.from_edges(spark.createDataFrame(rows, "u string, v string, weight double"), attrs=("weight",))
     assert "SortAggregate" not in plans[0]
     assert sorted((r.u, r.v, str(r.weight)) for r in g.edges.collect()) == [("a", "b", "3.0"), ("a", "c", "None"), ("c", "d", "nan")]
+
+
+def test_distinct_balls_keep_no_row_for_each_node_of_a_ball(spark, make, monkeypatch):
+    """Balls are drawn as arrays; no table written has a row for each node or edge of each ball."""
+    import random
+
+    from tessella.operators import dataset as DS
+
+    rng = random.Random(3)
+    pairs = {(i, (i + 1) % 200) for i in range(200)} | {tuple(rng.sample(range(200), 2)) for _ in range(25)}
+    g = make(sorted(pairs))
+    flagged = {i for i in range(200) if rng.random() < 0.5}
+    g = Graph(g.vertices.withColumn("is_mut", F.col("node_id").isin(*flagged).cast("int")), g.edges)
+    balls = DS.anchored_balls(g, ratio=1.0, steps=2, max_size=40)
+    rows = balls.collect()
+    written, cut = [], DS.cut
+
+    def told(df, label):
+        out = cut(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(DS, "cut", told)
+    got = {(r.component_id, r.anchor) for r in DS.distinct_balls(g, balls).collect()}
+    assert max(written) <= 200 < len(rows)
+
+    members: dict = {}
+    for r in rows:
+        members.setdefault(r.anchor, set()).add(r.node_id)
+    shapes, want = [], set()
+    for a in sorted(members):
+        near = {n: set() for n in members[a]}
+        for u, v in pairs:
+            if u in near and v in near:
+                near[u].add(v)
+                near[v].add(u)
+        shape = near, {n: int(n in flagged) for n in near}
+        if not any(DS._same_shape(*shape, *s) for s in shapes):
+            shapes.append(shape)
+            want.add((0, a))
+    assert got == want and len(want) < len(members)
