@@ -91,3 +91,25 @@ def test_distinct_balls_keep_no_row_for_each_node_of_a_ball(spark, make, monkeyp
             shapes.append(shape)
             want.add((0, a))
     assert got == want and len(want) < len(members)
+
+
+def test_like_components_do_not_slow_the_spectral_radius(make, monkeypatch):
+    """Components of nearly equal radius settle each for itself, after a few steps."""
+    from tessella.operators import spectral as SP
+
+    rng = np.random.default_rng(4)
+    pairs, weights, want = [], [], 0.0
+    for c in range(30):
+        a = np.zeros((12, 12))
+        for i in range(12):
+            for j in range(i):
+                if rng.random() < 0.7:
+                    a[i, j] = a[j, i] = rng.integers(1, 4)
+                    pairs.append((100 * c + j, 100 * c + i))
+                    weights.append(-a[i, j])
+        want = max(want, np.linalg.eigvalsh(a)[-1])
+    g = make(pairs + [(9_000, 9_001)], nodes=(9_999,), weights=weights + [2.0])
+    labels, cut = [], SP.cut
+    monkeypatch.setattr(SP, "cut", lambda df, label: labels.append(label) or cut(df, label))
+    assert SP.spectral_radius(g, max_steps=12) == pytest.approx(want, rel=1e-8)
+    assert labels.count("krylov") <= 25
