@@ -179,3 +179,22 @@ def test_endpoints_read_their_table_once(spark):
     narrow = spark.range(8).select(F.col("id").alias("nodeid_1"), (F.col("id") + 1).alias("nodeid_2"))
     assert plan(E.unique_endpoints(narrow)).count("Range (") == 1 and E.unique_endpoints(narrow).count() == 9
     assert seen.value == 8
+
+
+def test_plain_gml_records_are_cut_at_their_bracket(spark, tmp_path, monkeypatch):
+    """Only records with quotes or brackets in them go through the patterns that pass over these."""
+    import tessella.graph as G
+    from tessella.sources.graphs import read_gml
+
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, label: plans.append(plan(df)) or cut(df, label))
+    lines = [
+        'graph [ node [ id 1 label "x" ]', "node [id 2] edge[source 1 target 2]", " edge [ source 2 target -3 weight 2.5 ]", "edge [ source 4 target 5 graphics [ a [ b 1 ] ] value 3 ]",
+        'edge [ source 6 target 7 label "edge [ source 9 ]" ]', "edge source 8", "edge [ source 10", "target 11", " weight 1e3", "]", 'edge [ source 12 label "]" target 13 ]', "edge [ source 14 ] target 15",
+        "edge\n[ source 16 target 17 ]x", "edge [", "edge [ source 20 ]] target 21", 'edge [ "a" source 22 target 23 ] [', "node [ id 30 ]", "edge [ source 31 target 32", "]"]
+    (tmp_path / "g.gml").write_text("\n".join(lines))
+    g = read_gml(spark, f"file://{tmp_path}/g.gml")
+    assert "substring_index" in plans[0]
+    assert sorted((r.u, r.v, r.weight) for r in g.edges.collect()) == [
+        (-3, 2, 2.5), (1, 2, 1.0), (4, 5, 3.0), (6, 7, 1.0), (10, 11, 1000.0), (12, 13, 1.0), (16, 17, 1.0), (22, 23, 1.0), (31, 32, 1.0)]
+    assert {1, 2, 30} <= {r.node_id for r in g.vertices.collect()}
